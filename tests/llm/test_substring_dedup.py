@@ -1,0 +1,62 @@
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+
+from quarry.llm import substring_dedup as sd
+
+SCHEMA = "doc_id long, text string, lang string, n_words string"
+
+
+def brute(rows, window):
+    words = [(r[1] or "").encode().split() for r in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for r, w in zip(rows, words):
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone.update(range(i, i + window))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((r[0], len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def got(spark, rows, **options):
+    df = sd.deduplicated(spark.createDataFrame(rows, SCHEMA), rejoin=True, **options)
+    assert df.columns == ["doc_id", "text", "lang", "n_words", "n_removed"]
+    return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in df.collect()), key=str)
+
+
+@pytest.fixture
+def rows():
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdeé") for _ in range(3))
+    shared = [" ".join(word() for _ in range(k)) for k in (34, 35, 36, 80)]
+    out = []
+    for i in range(40):
+        text = [word() for _ in range(rnd.randrange(0, 90))]
+        for s in rnd.sample(shared, rnd.randrange(3)):
+            text.insert(rnd.randrange(len(text) + 1), s)
+        out.append((i, "\n".join(text), "en", "x"))
+    out += [(100, None, None, None), (101, "", "", ""), (None, out[3][1], "", ""), out[5], (102, "a b " * 60, "", ""), (103, " ".join(word() for _ in range(70_000)) + " " + shared[3], "", "")]
+    return out
+
+
+def test_matches_brute_force(spark, rows):
+    assert got(spark, rows) == brute(rows, 35)
+
+
+def test_short_windows_more_batches_and_crowded_anchors(spark, rows):
+    rows = rows[:40] + [(200 + i, rows[7][1] + f" x{i} y", "", "") for i in range(12)]
+    assert got(spark, rows, window=9, gram=4, batches=3, crowd=3) == brute(rows, 9)
+
+
+def test_untouched_text_stays(spark):
+    df = sd.deduplicated(spark.createDataFrame([(1, "a  b\nc", "", ""), (2, None, "", "")], SCHEMA))
+    assert {r.doc_id: r.text for r in df.collect()} == {1: "a  b\nc", 2: None}
+
+
+def test_empty_table(spark):
+    assert sd.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
