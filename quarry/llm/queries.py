@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, quality_gam, quality_rules, sharding, simhash, substring_dedup
-from quarry.llm.common import table
+from quarry.llm import packing, quality_gam, quality_rules, sharding, simhash, substring_dedup, warc
+from quarry.llm.common import scratch_path, table
 
 
 def held_out(modulus: int, remainder: int) -> "F.Column":
@@ -27,6 +27,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    manifest = warc.write(warc.chunks(table(spark, sf_dir, "pages")), folder)
+    return warc.read(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_warc": op3_warc,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
