@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import packing, quality_gam, quality_rules, sharding, simhash, substring_dedup, warc
+from quarry.llm import packing, quality_gam, quality_rules, sharding, simhash, substring_dedup, toxicity, warc
 from quarry.llm.common import scratch_path, table
 
 
@@ -33,6 +33,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold, docs = held_out(5, 0), table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~fold))
+    return toxicity.scored(docs, model).select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_sharding": op8_sharding,
