@@ -56,3 +56,11 @@ def test_empty_table_nulls_and_repeats(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA), PATH).count() == 0
     got = packing.packed(spark.createDataFrame([(None, None, "", ""), (None, None, "", ""), (3, "a", "", ""), (3, "a", "", "")], SCHEMA), PATH)
     assert got.count() == 4
+
+
+def test_fast_ids_are_the_tokenizers_ids(spark, sf):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + [t or "" for t in TEXTS]
+    texts += ["\u00a0x \u2003 y\u0085z\u3000", "١٢٣ ４５ Ⅷ ²", "a\u0301e\u0301 \u200b \ufeff", "日本語 テキスト", "🙂🙃 x", "\x1c \x00 \x7f", "don't DON'T we'll"]
+    quick, plain = packing.ByteEncoder(PATH), packing.ByteEncoder(PATH, fast=False)
+    assert quick.ranks is not None and plain.ranks is None
+    assert quick.encode(texts) == plain.encode(texts)
