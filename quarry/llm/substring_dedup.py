@@ -4,14 +4,16 @@ A window is ``window`` consecutive words. Each window is filed under its anchor:
 ``gram`` words, which depends on the window's words alone, so equal windows have equal anchors. Neighbouring windows
 with one anchor share a row (anchor, document, first window, number of windows).
 
-The index is a list of immutable runs, tables bucketed by anchor and sorted in each bucket. append() writes a batch
+The index is a list of immutable runs, tables bucketed and sorted by slot, which is the anchor itself for all but crowded anchors. append() writes a batch
 of documents as a new run and merge-joins it with the older ones, bucket by bucket without a shuffle, which tells the
 anchors that are there more than once. compact() merges the runs into one once there are ``fan_in``. Verification
 then digests the windows of repeated anchors from the texts and compares these digests within each anchor (128 bits
 in all), so an anchor shared by different windows removes nothing.
 
-Anchors with over ``crowd`` rows are salted: parts are compared on their own, then the distinct windows of the parts
-with each other.
+Crowded anchors never meet in one task. An anchor that a batch of Arrow rows holds ``hot`` times or more is repeated
+as it stands, so these rows take a slot of their own in the run instead of the anchor's, and skip the merge-join. In
+verification, anchors with over ``crowd`` rows are salted: parts are compared on their own, then the distinct windows
+of the parts with each other.
 
 Null and empty texts have no words; texts of fewer than ``window`` words lose nothing. A window that starts twice in
 one document counts as repeated, as do the windows of a repeated row. Rows are told apart by a hash of doc_id and text, so
@@ -74,15 +76,15 @@ def window_digests(hashes: np.ndarray, window: int) -> np.ndarray:
 class FingerprintIndex:
     """Runs of window fingerprints. Documents need the columns doc_id and text."""
 
-    def __init__(self, spark: SparkSession, window: int = 35, gram: int = 8, fan_in: int = 2, crowd: int = 4096):
-        self.spark, self.window, self.gram, self.fan_in, self.crowd = spark, window, gram, fan_in, crowd
+    def __init__(self, spark: SparkSession, window: int = 35, gram: int = 8, fan_in: int = 2, crowd: int = 4096, hot: int = 64):
+        self.spark, self.window, self.gram, self.fan_in, self.crowd, self.hot = spark, window, gram, fan_in, crowd, hot
         self.buckets = session_parallelism(spark)
         self.runs: list[str] = []
         self._repeated: list[DataFrame] = []
 
     def _store(self, rows: DataFrame) -> str:
         name = f"quarry_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").format("parquet").saveAsTable(name)
+        rows.repartition(self.buckets, "slot").write.bucketBy(self.buckets, "slot").sortBy("slot").format("parquet").saveAsTable(name)
         return name
 
     def _rows(self) -> DataFrame:
@@ -90,7 +92,7 @@ class FingerprintIndex:
 
     def append(self, docs: DataFrame) -> None:
         """Add a batch and note which anchors it repeats, of its own or of earlier batches."""
-        window, gram = self.window, self.gram
+        window, gram, hot = self.window, self.gram, self.hot
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -101,14 +103,19 @@ class FingerprintIndex:
                         a, first, n = anchors(word_hashes(words), window, gram)
                         out.append((a, np.full(len(a), key), first, n))
                 a, key, first, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(key), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int8))], ["anchor", "key", "first", "n"])
-
-        new = self._store(docs.select(row_key().alias("key"), "text").mapInArrow(run, "anchor long, key long, first int, n byte"))
-        found = self.spark.table(new).groupBy("anchor").agg(F.count("*").alias("rows"))
+                a = a.view(np.int64)
+                _, which, times = np.unique(a, return_inverse=True, return_counts=True)
+                slot = np.where(times[which] >= hot, ((a ^ key).view(np.uint64) * MIX[1]).view(np.int64), a)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(a), pa.array(key), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int8))], ["slot", "anchor", "key", "first", "n"])
+
+        new = self._store(docs.select(row_key().alias("key"), "text").mapInArrow(run, "slot long, anchor long, key long, first int, n byte"))
+        rows = self.spark.table(new)
+        found = rows.where("slot = anchor").groupBy("slot").agg(F.count("*").alias("rows"))
         if self.runs:
-            old = self._rows().groupBy("anchor").agg(F.count("*").alias("old"))
-            found = found.join(old, "anchor", "left").select("anchor", (F.col("rows") + F.coalesce("old", F.lit(0))).alias("rows"))
-        self._repeated.append(written(found.where("rows > 1"), "repeated"))
+            old = self._rows().where("slot = anchor").groupBy("slot").agg(F.count("*").alias("old"))
+            found = found.join(old, "slot", "left").select("slot", (F.col("rows") + F.coalesce("old", F.lit(0))).alias("rows"))
+        crowded = rows.where("slot != anchor").groupBy("anchor").agg(F.count("*").alias("rows"))
+        self._repeated.append(written(found.where("rows > 1").select(F.col("slot").alias("anchor"), "rows").unionByName(crowded), "repeated"))
         self.runs.append(new)
         if len(self.runs) >= self.fan_in:
             self.compact()
@@ -128,9 +135,12 @@ class FingerprintIndex:
         """The rows of repeated anchors, with the number of parts that an anchor's rows are dealt into."""
         if not self._repeated:
             return self.spark.createDataFrame([], "anchor long, key long, first int, n byte, parts int")
-        # an anchor is noted again with each batch that repeats it; the last count is the whole one
-        totals = reduce(DataFrame.unionByName, self._repeated).groupBy("anchor").agg(F.ceil(F.max("rows") / self.crowd).cast("int").alias("parts"))
-        return self._rows().join(totals, "anchor")
+        # an anchor may be noted with each batch, and of a crowded one each note counts other rows
+        totals = reduce(DataFrame.unionByName, self._repeated).groupBy("anchor").agg(F.ceil(F.sum("rows") / self.crowd).cast("int").alias("parts"))
+        columns = ["anchor", "key", "first", "n", "parts"]
+        rows = self._rows()
+        lone = rows.where("slot = anchor").drop("anchor").join(totals.withColumnRenamed("anchor", "slot"), "slot").withColumnRenamed("slot", "anchor")
+        return lone.select(*columns).unionByName(rows.where("slot != anchor").join(totals, "anchor").select(*columns))
 
 
 def _verified(index: FingerprintIndex, docs: DataFrame) -> DataFrame:
@@ -220,3 +230,10 @@ def deduplicated(docs: DataFrame, window: int = 35, batches: int = 2, rejoin: bo
 
     joined = docs.withColumn("_key", row_key()).join(covered.withColumnRenamed("key", "_key"), "_key", "left").select(*columns, "_spans")
     return joined.mapInArrow(strip, docs.select(*columns).schema.add("n_words", "long").add("n_removed", "long"))
+
+
+def recounted(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns of deduplicated(), with n_chars, where there is one, brought in line with texts that lost words."""
+    if "n_chars" in columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*columns)

@@ -50,7 +50,7 @@ def test_matches_brute_force(spark, rows):
 
 def test_short_windows_more_batches_and_crowded_anchors(spark, rows):
     rows = rows[:40] + [(200 + i, rows[7][1] + f" x{i} y", "", "") for i in range(12)]
-    assert got(spark, rows, window=9, gram=4, batches=3, crowd=3) == brute(rows, 9)
+    assert got(spark, rows, window=9, gram=4, batches=3, crowd=3, hot=5) == brute(rows, 9)
 
 
 def test_untouched_text_stays(spark):
