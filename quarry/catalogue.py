@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import scalar
+from quarry.functions import ip, scalar
 from quarry.operators import analytics as a
-from quarry.operators import render, search, upkeep
-from quarry.sources import views
+from quarry.operators import chunking, render, search, upkeep
+from quarry.plans import indexing, schedule
+from quarry.sources import conversations, crawl, views
 from quarry.sources.views import table
+from quarry.streaming import ratelimit, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,9 +165,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.vector_search(rows, QUERY, 10).select("id", "similarity"), "similarity")
 
 
-@query("vector_topk_filtered", f"{CHUNKS_SQL} SELECT id, file_path, round(similarity, 6) AS similarity FROM (SELECT id, file_path, {COSINE} AS similarity FROM chunks WHERE source_name = 'src0' AND version = 'v1' ORDER BY similarity DESC, id LIMIT 10) WHERE similarity >= 0.05")
+@query("vector_topk_filtered", f"{CHUNKS_SQL} SELECT id, file_path, round(similarity, 6) AS similarity FROM (SELECT id, file_path, {COSINE} AS similarity FROM chunks WHERE source_name = 'src1' AND version = 'v1' ORDER BY similarity DESC, id LIMIT 10) WHERE similarity >= -1.0")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = search.vector_search(views.chunks(spark, d), QUERY, 10, "src0", "v1", 0.05)
+    found = search.vector_search(views.chunks(spark, d), QUERY, 10, "src1", "v1", -1.0)
     return rounded(found.select("id", "file_path", "similarity"), "similarity")
 
 
@@ -178,7 +180,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("keyword_ranked")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return rounded(search.keyword_search(docs, "inner thing", 20).select("id", "similarity"), "similarity")
+    return rounded(search.keyword_search(docs, "hati ered", 20).select("id", "similarity"), "similarity")
 
 
 @query(
@@ -336,3 +338,120 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = F.expr("CASE lang WHEN 'en' THEN concat('a/', doc_id, '.py') WHEN 'de' THEN concat(doc_id, '.TSX') WHEN 'fr' THEN concat(doc_id, '.weird') ELSE 'Makefile' END")
     return table(spark, d, "documents").groupBy("lang", scalar.language(path).alias("language")).agg(F.count("*").alias("n"))
+
+
+# chunkers
+
+
+def item_rows(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    if name == "pages":
+        return table(spark, d, name).select(F.concat(F.lit("p/"), "page_id", F.lit(".html")).alias("id"), F.col("html").alias("content"))
+    return table(spark, d, name).select(F.concat("source", F.lit("/"), "doc_id", F.lit(".py")).alias("id"), F.col("text").alias("content"))
+
+
+def digested(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", "chunk_index", "title", "start_line", "end_line", "language", F.array_join("heading_path", " > ").alias("heading_path"), F.md5("content").alias("content_md5"))
+
+
+SPACES_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279) || chr(8232) || chr(8233)"
+
+
+@query("chunk_raw_text", f"SELECT concat(source, '/', doc_id, '.py') AS id, CAST(0 AS INT) AS chunk_index, md5(trim(text, {SPACES_SQL})) AS content_md5 FROM documents WHERE trim(text, {SPACES_SQL}) <> '' AND NOT contains(text, chr(10) || chr(10))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = item_rows(spark, d)
+    return digested(chunking.chunked(rows, "raw-text").join(rows.where(F.contains("content", F.lit("\n\n"))).select("id"), "id", "left_anti")).select("id", "chunk_index", "content_md5")
+
+
+@query("chunk_qa", f"{FAQ_SQL} SELECT CAST(id AS VARCHAR) AS id, CAST(0 AS INT) AS chunk_index, title, md5(trim(content, {SPACES_SQL})) AS content_md5 FROM faq WHERE strpos(title, chr(10)) = 0 AND title <> ''")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    faq = faq_chunks(spark, d).where(~F.contains("title", F.lit("\n")) & (F.col("title") != "")).select(F.col("id").cast("string").alias("id"), "content")
+    return digested(chunking.chunked(faq, "qa")).select("id", "chunk_index", "title", "content_md5")
+
+
+@query("chunk_document")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return digested(chunking.chunked(item_rows(spark, d), "document"))
+
+
+@query("chunk_markdown")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return digested(chunking.chunked(item_rows(spark, d), "markdown"))
+
+
+@query("chunk_code")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return digested(chunking.chunked(item_rows(spark, d), "code"))
+
+
+@query("chunk_html")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return digested(chunking.chunked(item_rows(spark, d, "pages"), "html"))
+
+
+@query("link_extraction")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").where("url IS NOT NULL")
+    return pages.select("page_id", F.posexplode(crawl.links(F.coalesce("html", F.lit("")), "url")).alias("i", "link"))
+
+
+@query("visible_text")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", crawl.visible_text(F.coalesce("html", F.lit(""))).alias("text")).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("index_documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = item_rows(spark, d).select("id", "content", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("source_url"), F.lit("{}").alias("metadata"))
+    found = indexing.chunk_rows(rows, "docs", "document", indexing.hashed_embedder)
+    return found.select("id", "file_path", "chunk_index", "title", F.md5("content").alias("content_md5"), F.size("embedding").alias("dimensions"), F.get("embedding", F.lit(0)).alias("first"))
+
+
+# state
+
+
+@query(
+    "session_expiry",
+    """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen, count(*) AS n_events
+    FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events))
+    GROUP BY user_id, s""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return sessions.expired(events).select("user_id", at("started"), at("last_seen"), "n_events")
+
+
+@query("rate_limit")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    requests = table(spark, d, "events").select(F.col("user_id").alias("key"), "ts", "event_id")
+    return ratelimit.limited(requests, limit=2, window=86_400).select("key", "event_id", "admitted", F.round("retry_after", 3).alias("retry_after"))
+
+
+@query("session_admission")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.concat(F.lit("10.0.0."), F.col("user_id") % 50).alias("ip"), F.col("user_id").cast("string").alias("sid"), "ts", F.when(F.col("event_type") == "purchase", "close").otherwise("open").alias("kind"))
+    marked = ip.allowlisted(rows, ["10.0.0.0/29"])
+    return sessions.admitted(marked, per_ip=3).groupBy("ip", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    "startup_plan",
+    """WITH s AS (SELECT source, max(doc_id) AS token, min(doc_id) AS old, count(*) AS n FROM documents GROUP BY 1)
+    SELECT source AS source_key, CASE WHEN n % 3 = 0 THEN 'full' WHEN n % 3 = 1 THEN 'incremental' ELSE CASE WHEN token = old THEN 'none' ELSE 'incremental' END END AS action FROM s""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    by = table(spark, d, "documents").groupBy("source").agg(F.max("doc_id").cast("string").alias("token"), F.min("doc_id").cast("string").alias("old"), F.count("*").alias("n"))
+    sources = by.select(F.lit("code").alias("source_type"), F.col("source").alias("source_key"), (F.col("n") % 3 == 1).alias("local"), F.col("token").alias("current_token"))
+    states = by.where("n % 3 != 0").select(F.lit("code").alias("source_type"), F.col("source").alias("source_key"), F.col("old").alias("last_commit_sha"), F.lit("idle").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("last_indexed_at"))
+    return schedule.startup_actions(sources, states, "2024-01-02 12:00:00").select("source_key", "action")
+
+
+@query("thread_participants", "SELECT thread, string_agg(role, ',' ORDER BY first) AS participants FROM (SELECT conv_id AS thread, role, min(turn) AS first FROM conversations GROUP BY 1, 2) GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.participants(views.threads(spark, d)).select("thread", F.array_join("participants", ",").alias("participants"))
+
+
+@query("source_snapshot", "SELECT source AS path, count(*) AS n, sha256(string_agg(concat(doc_id, ':', n_chars, chr(10)), '' ORDER BY concat(doc_id, ':', n_chars, chr(10)))) AS token FROM documents GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "documents").select("source", F.concat("doc_id", F.lit(":"), "n_chars", F.lit("\n")).alias("line"))
+    return lines.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("token"))
