@@ -126,7 +126,7 @@ def hybrid_search(chunks: DataFrame, query: list[float], words: str, limit: int,
 
 
 def confidence() -> Column:
-    return F.get_json_object("metadata", "$.confidence").cast("double")
+    return F.get_json_object("metadata", "$.confidence").try_cast("double")
 
 
 def faq_rows(chunks: DataFrame, sources: list[str], min_confidence: float) -> DataFrame:

@@ -43,9 +43,9 @@ def collected(rows: DataFrame, tool: str, fields: list[dict]) -> DataFrame:
     ok = F.lit(True)
     for f in fields:
         c = F.col(f["name"])
-        fits = c.cast("double").isNotNull() if f["type"] == "number" else c.isin(f["values"]) if f["type"] == "enum" else F.lit(True)
+        fits = c.try_cast("double").isNotNull() if f["type"] == "number" else c.isin(f["values"]) if f["type"] == "enum" else F.lit(True)
         ok = ok & (c.isNotNull() & fits if f.get("required", False) else c.isNull() | fits)
-    data = F.to_json(F.struct(*[F.col(f["name"]).cast("double" if f["type"] == "number" else "string").alias(f["name"]) for f in fields]))
+    data = F.to_json(F.struct(*[F.col(f["name"]).try_cast("double" if f["type"] == "number" else "string").alias(f["name"]) for f in fields]))
     return rows.where(ok).select(F.lit(tool).alias("tool_name"), data.alias("data"))
 
 

@@ -43,12 +43,12 @@ def discord_threads(threads: DataFrame, min_messages: int = 2, since: str | None
     """Threads with enough messages whose last message is newer than the token; ids are compared as numbers. A thread listed twice is taken once."""
     rows = threads.where(F.col("message_count") >= min_messages)
     if since is not None:
-        rows = rows.where(F.col("last_message_id").cast("decimal(20,0)") > F.lit(since).cast("decimal(20,0)"))
+        rows = rows.where(F.col("last_message_id").try_cast("decimal(20,0)") > F.lit(since).try_cast("decimal(20,0)"))
     return rows.dropDuplicates(["id"])
 
 
 def discord_token(threads: DataFrame) -> DataFrame:
-    return threads.agg(F.max(F.col("last_message_id").cast("decimal(20,0)")).cast("string").alias("token"))
+    return threads.agg(F.max(F.col("last_message_id").try_cast("decimal(20,0)")).cast("string").alias("token"))
 
 
 def shortened(text: Column, most: int = ANSWER_CHARS) -> Column:

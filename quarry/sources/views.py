@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query log, from events."""
-    events = table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)))
+    events = table(spark, sf_dir, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0)))
     return events.selectExpr(
         "CASE event_type WHEN 'view' THEN 'search-docs' WHEN 'click' THEN 'search-code' WHEN 'error' THEN 'search-docs' WHEN 'purchase' THEN 'explore-docs' ELSE 'knowledge-faq' END AS tool_name",
         "CASE WHEN k % 10 = 9 THEN '<redacted>' ELSE concat('q', k) END AS query_text",
