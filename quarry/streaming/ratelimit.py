@@ -49,7 +49,7 @@ def limited(requests: DataFrame, limit: int, window: float = 60.0, key: str = "k
 
 
 def limited_stream(requests: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """The same for a stream of (key string, id long, ts timestamp), as rows (key, id, admitted). The state of a key ends a window after its last request."""
+    """The same for a stream of (key string, id long, ts timestamp) with a watermark on ts, as rows (key, id, admitted). The state of a key goes when the watermark passes its window."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -61,7 +61,7 @@ def limited_stream(requests: DataFrame, limit: int, window: float = 60.0) -> Dat
             start, count, ok, _ = admit(start, count, t.timestamp(), limit, window)
             out.append((key[0], i, ok))
         state.update((start, count))
-        state.setTimeoutDuration(int(window * 1000) + 1)
+        state.setTimeoutTimestamp(max(int((start + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "id", "admitted"])
 
-    return requests.groupBy("key").applyInPandasWithState(run, "key string, id long, admitted boolean", "start double, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("key").applyInPandasWithState(run, "key string, id long, admitted boolean", "start double, count long", "append", GroupStateTimeout.EventTimeTimeout)

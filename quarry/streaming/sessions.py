@@ -13,7 +13,7 @@ USED_TTL, UNUSED_TTL, PER_IP, GLOBAL = 30 * 60, 15 * 60, 20, 1000
 
 
 def expired(events: DataFrame, key: str = "user_id", when: str = "ts", gap: str = "30 minutes") -> DataFrame:
-    """The sessions of each key: a pause of the gap or more ends one. Works on tables and, with a watermark, on streams."""
+    """The sessions of each key: a pause of more than the gap ends one. Works on tables and, with a watermark, on streams."""
     window = F.session_window(when, gap)
     found = events.groupBy(key, window.alias("s")).agg(F.count("*").alias("n_events"), F.max(when).alias("last_seen"))
     return found.select(key, F.col("s.start").alias("started"), "last_seen", F.col("s.end").alias("expires"), "n_events")
