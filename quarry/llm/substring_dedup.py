@@ -115,7 +115,8 @@ class FingerprintIndex:
             old = self._rows().where("slot = anchor").groupBy("slot").agg(F.count("*").alias("old"))
             found = found.join(old, "slot", "left").select("slot", (F.col("rows") + F.coalesce("old", F.lit(0))).alias("rows"))
         crowded = rows.where("slot != anchor").groupBy("anchor").agg(F.count("*").alias("rows"))
-        self._repeated.append(written(found.where("rows > 1").select(F.col("slot").alias("anchor"), "rows").unionByName(crowded), "repeated"))
+        found = found.where("rows > 1").select(F.col("slot").alias("anchor"), "rows", F.lit(False).alias("crowded"))
+        self._repeated.append(written(found.unionByName(crowded.withColumn("crowded", F.lit(True))), "repeated"))
         self.runs.append(new)
         if len(self.runs) >= self.fan_in:
             self.compact()
@@ -135,12 +136,20 @@ class FingerprintIndex:
         """The rows of repeated anchors, with the number of parts that an anchor's rows are dealt into."""
         if not self._repeated:
             return self.spark.createDataFrame([], "anchor long, key long, first int, n byte, parts int")
-        # an anchor may be noted with each batch, and of a crowded one each note counts other rows
-        totals = reduce(DataFrame.unionByName, self._repeated).groupBy("anchor").agg(F.ceil(F.sum("rows") / self.crowd).cast("int").alias("parts"))
+        # an anchor may be noted with each batch, so its sum may be more than its rows
+        hot = F.sum(F.when(F.col("crowded"), F.col("rows")).otherwise(0))
+        totals = reduce(DataFrame.unionByName, self._repeated).groupBy("anchor").agg(F.ceil(F.sum("rows") / self.crowd).cast("int").alias("parts"), hot.alias("hot"))
         columns = ["anchor", "key", "first", "n", "parts"]
         rows = self._rows()
-        lone = rows.where("slot = anchor").drop("anchor").join(totals.withColumnRenamed("anchor", "slot"), "slot").withColumnRenamed("slot", "anchor")
-        return lone.select(*columns).unionByName(rows.where("slot != anchor").join(totals, "anchor").select(*columns))
+        lone = rows.where("slot = anchor").drop("anchor").join(totals.withColumnRenamed("anchor", "slot"), "slot").withColumnRenamed("slot", "anchor").select(*columns)
+        crowded, every = rows.where("slot != anchor"), totals.agg(F.sum("hot")).first()[0] or 0
+        if not every:
+            return lone
+        # anchors with a thousandth of the crowded rows each: a thousand at most, so they may be broadcast; no other one is many rows of a join
+        heavy = totals.where(F.col("hot") * 1000 >= every).select("anchor", "parts")
+        known = crowded.join(F.broadcast(heavy), "anchor").select(*columns)
+        rest = crowded.join(F.broadcast(heavy.select("anchor")), "anchor", "left_anti").join(totals.select("anchor", "parts"), "anchor").select(*columns)
+        return lone.unionByName(known).unionByName(rest)
 
 
 def _verified(index: FingerprintIndex, docs: DataFrame) -> DataFrame:
