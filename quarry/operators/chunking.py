@@ -55,18 +55,42 @@ def chunk(content: Column, title: Column | None = None, path: Column | None = No
     return F.struct(*[(none if v is None else v).alias(k) for k, v in values.items()]).cast(CHUNK)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def merged(parts: Column, target: int, separator: str, unless_line_end: bool = False) -> Column:
-    """Neighbouring parts joined for as long as they keep to the target."""
+    """Neighbouring parts joined for as long as they keep to the target; blank results are left out.
+
+    The fold keeps places and sizes only, so that no text is copied before its chunk is complete. unless_line_end: no
+    separator follows a line end, nor an empty part, which has had one before it.
+    """
+    def between(last: Column) -> Column:
+        if not unless_line_end:
+            return F.lit(separator)
+        return F.when((last == "") | last.endswith("\n") | last.endswith(HIDDEN), "").otherwise(separator)
+
     def step(s: Column, p: Column) -> Column:
-        bare = s["now"] == ""
-        if unless_line_end:
-            bare = bare | s["now"].endswith("\n") | s["now"].endswith(HIDDEN)
-        longer = F.concat(s["now"], F.when(bare, "").otherwise(separator), p)
-        full = (s["now"] != "") & (F.length(longer) > target)
-        return F.struct(F.when(full, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), F.when(full, p).otherwise(longer).alias("now"))
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    return F.aggregate(parts, start, step, lambda s: F.when(filled(s["now"]), F.array_append(s["done"], s["now"])).otherwise(s["done"]))
+        longer = F.when(s["size"] == 0, F.length(p)).otherwise(s["size"] + F.length(between(s["last"])) + F.length(p))
+        full = (s["size"] > 0) & (longer > target)
+        new = full | (s["size"] == 0)
+        return F.struct(
+            F.when(full, F.array_append(s["done"], F.struct(s["first"].alias("first"), s["n"].alias("n")))).otherwise(s["done"]).alias("done"), F.when(new, s["i"]).otherwise(s["first"]).alias("first"), F.when(new, F.lit(1)).otherwise(s["n"] + 1).alias("n"),
+            F.when(full, F.length(p)).otherwise(longer).alias("size"), p.alias("last"), (s["i"] + 1).alias("i"),
+        )
+
+    def joined(all_parts: Column) -> Column:
+        zero = F.lit(0)
+        start = F.struct(F.array().cast("array<struct<first: int, n: int>>").alias("done"), zero.alias("first"), zero.alias("n"), zero.alias("size"), F.lit("").alias("last"), zero.alias("i"))
+        runs = F.aggregate(all_parts, start, step, lambda s: F.when(s["size"] > 0, F.array_append(s["done"], F.struct(s["first"].alias("first"), s["n"].alias("n")))).otherwise(s["done"]))
+        own = lambda r: F.slice(all_parts, r["first"] + 1, r["n"])
+        if not unless_line_end:
+            return F.transform(runs, lambda r: F.array_join(own(r), separator))
+        spaced = lambda r: F.transform(own(r), lambda p, i: F.concat(F.when(i == 0, "").otherwise(between(F.get(all_parts, r["first"] + i - 1))), p))
+        return F.transform(runs, lambda r: F.array_join(spaced(r), ""))
+
+    return F.filter(once(parts, joined), filled)
 
 
 def tail(text: Column, size: int) -> Column:
