@@ -177,6 +177,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.simple_keyword_search(docs, WORDS, 20).select("id", "similarity")
 
 
+@query("keyword_postings", f"{CHUNKS_SQL.replace('JOIN embeddings ON doc_id = vec_id', 'CROSS JOIN (SELECT NULL AS embedding)')} {RANK_BY_WORDS} 20")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return search.postings_search(search.postings(docs), WORDS, 20)
+
+
 @query("keyword_ranked")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
@@ -455,3 +461,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("source", F.concat("doc_id", F.lit(":"), "n_chars", F.lit("\n")).alias("line"))
     return lines.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("token"))
+
+
+@query("inverted_index", f"{CHUNKS_SQL.replace('JOIN embeddings ON doc_id = vec_id', 'CROSS JOIN (SELECT NULL AS embedding)')} SELECT term, count(DISTINCT id) AS chunks, count(*) AS occurrences FROM (SELECT id, unnest({TOKENS}) AS term FROM chunks) GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return search.postings(docs).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"))
+
+
+@query("faq_text", f"{FAQ_SQL} SELECT source_name, title, md5(trim(split_part(content, chr(10) || 'A: ', 2), ' ')) AS answer_md5 FROM faq WHERE source_name IN ('faq2', 'faq0') AND strpos(title, chr(10)) = 0 AND title <> ''")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    faq = faq_chunks(spark, d).where(~F.contains("title", F.lit("\n")) & (F.col("title") != ""))
+    return render.faq_text(faq, ["faq2", "faq0"]).select("source_name", "title", F.md5("answer").alias("answer_md5"))
+
+
+@query("index_file_tree", f"{CHUNKS_SQL} SELECT path, CAST(sum(strlen(content)) AS BIGINT) AS size, count(*) AS chunks FROM (SELECT concat('/', source_name, '/', file_path) AS path, content FROM chunks) GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.chunks(spark, d).select(search.virtual_path().alias("path"), F.octet_length("content").alias("size"))
+    return rows.groupBy("path").agg(F.sum("size").alias("size"), F.count("*").alias("chunks"))
+
+
+@query("site_source_type", "SELECT CASE WHEN avg(CASE WHEN regexp_matches(lower(url), '\\.mdx?$') THEN 1.0 ELSE 0 END) > 0.5 THEN 'markdown' ELSE 'html' END AS type FROM pages WHERE url IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.source_type(table(spark, d, "pages").where("url IS NOT NULL"))

@@ -104,6 +104,23 @@ def keyword_search(chunks: DataFrame, query: str, limit: int, source: str | None
     return _best(rows.drop("_tf", "_length"), limit)
 
 
+def postings(chunks: DataFrame, buckets: int = 64) -> DataFrame:
+    """The inverted index of chunks: term, id, tf, length and the bucket to partition a written table by, so that a query reads the buckets of its terms only."""
+    words = chunks.select("id", tokens(F.col("content")).alias("t")).select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+
+
+def postings_search(index: DataFrame, query: str, limit: int, buckets: int = 64) -> DataFrame:
+    """id and similarity (number of occurrences) of chunks that hold all words of the query, from postings; the same result as simple_keyword_search."""
+    words = sorted(set(_split(query)))
+    where = F.array(*[F.pmod(F.xxhash64(F.lit(w)), F.lit(buckets)).cast("int") for w in words]) if words else None
+    if not words:
+        return index.select("id", F.lit(0.0).alias("similarity")).where(F.lit(False))
+    numbers = index.sparkSession.range(1).select(where.alias("b")).first().b
+    rows = index.where(F.col("bucket").isin(numbers) & F.col("term").isin(words)).groupBy("id").agg(F.count("*").alias("n"), F.sum("tf").cast("double").alias("similarity"))
+    return rows.where(F.col("n") == len(words)).select("id", "similarity").orderBy(F.desc("similarity"), "id").limit(limit)
+
+
 def fused(vector_hits: DataFrame, keyword_hits: DataFrame, limit: int) -> DataFrame:
     """Hits of two ranked lists by the sum of 1 / (60 + rank). An id's first place in a list counts; the row is the vector hit's where there is one, and ties keep
     the order of the vector hits, then of the keyword hits."""

@@ -96,3 +96,28 @@ def common_prefix(urls: DataFrame) -> DataFrame:
 def source_type(urls: DataFrame) -> DataFrame:
     """markdown if most urls end in .md or .mdx, else html."""
     return urls.agg(F.when(F.avg(F.lower("url").rlike(r"\.mdx?$").cast("int")) > 0.5, "markdown").otherwise("html").alias("type"))
+
+
+def server_name(url: str) -> str:
+    """A short name of a site by its host."""
+    import re
+
+    host = re.sub(r"^(?:www|docs|doc|developer|developers|api|help|learn)\.", "", re.sub(r"^[a-z]+://|[/:?#].*$", "", url.lower()))
+    return re.sub(r"[^a-z0-9]+", "-", host.rsplit(".", 1)[0] if "." in host else host).strip("-") or "site"
+
+
+def repository_of(url: str) -> str | None:
+    """The clone url that a page of a code host belongs to."""
+    import re
+
+    m = re.match(r"^(?:https?://|git@)(github\.com|gitlab\.com)[/:]([^/]+)/([^/#?]+)", url)
+    return f"https://{m[1]}/{m[2]}/{m[3].removesuffix('.git')}.git" if m else None
+
+
+def generated_config(pages: DataFrame, url: str) -> dict:
+    """A configuration for a crawled site (pages: url, html): its kind of source, the prefix and the content selector that most pages share, and a search tool."""
+    kind, prefix = source_type(pages).first().type, common_prefix(pages).first().prefix
+    selector = pages.select(content_selector("html").alias("s")).where("s IS NOT NULL").groupBy("s").count().orderBy(F.desc("count"), "s").first()
+    name = server_name(url)
+    source = {"name": "docs", "type": kind, "path": prefix, "base_url": url} | ({"content_selector": selector.s} if selector else {})
+    return {"server": {"name": name}, "sources": [source], "tools": [{"name": "search-docs", "type": "search", "source": "docs"}], "embedding": {"provider": "local"}, "indexing": {"auto_reindex": True}}

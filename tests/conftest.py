@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], str(Path(__file__).parent), os.environ.get("PYTHONPATH", "")])
 
 SF = "/root/testdata/sf0.001"
 

@@ -179,3 +179,39 @@ def test_site_shape(spark):
     assert crawl.common_prefix(urls("https://h/docs/guide")).first().prefix == "/docs" and crawl.common_prefix(urls("https://h/a", "https://h/b")).first().prefix == "/"
     assert crawl.source_type(urls("a.md", "b.mdx", "c")).first().type == "markdown" and crawl.source_type(urls("a.md", "c")).first().type == "html"
     assert crawl.looks_scripted(spark.createDataFrame([("",), ("x" * 200,), ("",)], "text string")).first().scripted
+
+
+def test_paged_api(spark, monkeypatch):
+    from quarry.sources import api
+
+    spark.dataSource.register(api.ApiSource)
+    rows = spark.read.format("paged-api").option("client", "fake_api:client").option("channels", "a,b").load()
+    assert rows.count() == 8 and {(r.channel, r.ts) for r in conversations.slack_threads(rows).collect()} == {(c, f"{n}.0") for c in "ab" for n in (0, 1)}
+
+    waits, calls = [], []
+
+    def busy(channel, cursor):
+        calls.append(cursor)
+        if len(calls) < 4:
+            raise api.Throttled(7 if len(calls) == 1 else None)
+        return ["row"], None
+
+    assert list(api.pages(busy, "a", sleep=waits.append)) == [["row"]] and waits == [7, 2.0, 3.0]
+    with pytest.raises(api.Throttled):
+        api.patiently(lambda: (_ for _ in ()).throw(api.Throttled()), retries=2, sleep=waits.append)
+
+
+def test_generated_config(spark):
+    from quarry import config
+
+    pages = spark.createDataFrame([("https://docs.acme.dev/en/a", "<main>x</main>"), ("https://docs.acme.dev/en/b", "<main>y</main>"), ("https://docs.acme.dev/en/c", "<article>z</article>")], "url string, html string")
+    got = crawl.generated_config(pages, "https://docs.acme.dev/")
+    assert config.errors(got) == [] and got["server"]["name"] == "acme" and got["sources"][0] | {"path": "/en", "content_selector": "main"} == got["sources"][0]
+    assert crawl.repository_of("https://github.com/o/r.git") == "https://github.com/o/r.git" and crawl.repository_of("https://o.example/") is None
+
+
+def test_messages():
+    from quarry.functions import messages
+
+    assert messages.rate_limited(1, 60, 1.5) == {"error": "rate_limited", "message": "At most 1 request in 60 seconds; try again in 1 second.", "retry_after": 1}
+    assert messages.at_capacity(20, 20)["retry_after"] == 60 and messages.wait_seconds(1e9) == 300
