@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MIX, as_bytes, row_key, session_parallelism, whole_groups, written
+from quarry.llm.common import MIX, as_bytes, fresh, row_key, session_parallelism, whole_groups, written
 
 #: Words that one step of the rolling hashes covers.
 STRIDE = 1 << 16
@@ -76,7 +76,7 @@ def window_digests(hashes: np.ndarray, window: int) -> np.ndarray:
 class FingerprintIndex:
     """Runs of window fingerprints. Documents need the columns doc_id and text."""
 
-    def __init__(self, spark: SparkSession, window: int = 35, gram: int = 8, fan_in: int = 2, crowd: int = 4096, hot: int = 64):
+    def __init__(self, spark: SparkSession, window: int = 35, gram: int = 8, fan_in: int = 2, crowd: int = 2048, hot: int = 64):
         self.spark, self.window, self.gram, self.fan_in, self.crowd, self.hot = spark, window, gram, fan_in, crowd, hot
         self.buckets = session_parallelism(spark)
         self.runs: list[str] = []
@@ -215,15 +215,16 @@ def deduplicated(docs: DataFrame, window: int = 35, batches: int = 2, rejoin: bo
     index = FingerprintIndex(docs.sparkSession, window, **options)
     for i in range(batches):
         index.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
-    covered = written(_verified(index, docs).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("_spans")), "spans")
+    covered = written(_verified(index, docs).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
     index.drop()
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    columns = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
+    own_key, own_spans = fresh("key", docs.columns), fresh("spans", docs.columns)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[bytes | None] = batch.column("text").cast(pa.binary()).to_pylist()
             counts = np.zeros((2, len(texts)), dtype=np.int64)
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(own_spans).to_pylist()):
                 words = (texts[i] or b"").split()
                 counts[0, i] = len(words)
                 if spans:
@@ -237,7 +238,8 @@ def deduplicated(docs: DataFrame, window: int = 35, batches: int = 2, rejoin: bo
             stripped = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(stripped if c == "text" else batch.column(c) for c in columns), pa.array(counts[0]), pa.array(counts[1])], [*columns, "n_words", "n_removed"])
 
-    joined = docs.withColumn("_key", row_key()).join(covered.withColumnRenamed("key", "_key"), "_key", "left").select(*columns, "_spans")
+    covered = covered.select(F.col("key").alias(own_key), F.col("spans").alias(own_spans))
+    joined = docs.withColumn(own_key, row_key()).join(covered, own_key, "left").select(*columns, own_spans)
     return joined.mapInArrow(strip, docs.select(*columns).schema.add("n_words", "long").add("n_removed", "long"))
 
 
