@@ -47,6 +47,14 @@ def row_key() -> "F.Column":
     return F.xxhash64("doc_id", "text")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

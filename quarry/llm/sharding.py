@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import MIX, session_parallelism, written
+from quarry.llm.common import MIX, fresh, session_parallelism, written
 
 ROUNDS = 6
 
@@ -64,21 +64,23 @@ def number_at(shard: np.ndarray, slot: np.ndarray, n: int, shards: int, seed: in
 
 def assigned(rows: DataFrame, order: list[str], shards: int = 8, seed: int = 0) -> DataFrame:
     """rows with the columns shard and slot."""
-    columns = [c for c in rows.columns if c not in ("shard", "slot")]
+    columns = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
+    part, row, number = (fresh(c, columns) for c in ("part", "row", "number"))
     ranged = rows.select(*columns).repartitionByRange(session_parallelism(rows.sparkSession), *order).sortWithinPartitions(*order)
     # the low 33 bits count the rows of a partition
-    ranged = written(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranged")
-    parts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    ranged = written(ranged.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranged")
+    parts = ranged.groupBy(part).agg(F.count("*").alias("n"))
     # one row per partition, so small whatever the table
-    before = parts.withColumn("_first", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    first = fresh("first", ranged.columns)
+    before = parts.select(part, F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).alias(first))
     n = ranged.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, slot = place(batch.column("_number").to_numpy(), n, shards, seed)
+            shard, slot = place(batch.column(number).to_numpy(), n, shards, seed)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(shard.astype(np.int32)), pa.array(slot)], [*columns, "shard", "slot"])
 
-    numbered = ranged.join(F.broadcast(before), "_part").select(*columns, (F.col("_row") + F.coalesce("_first", F.lit(0))).alias("_number"))
+    numbered = ranged.join(F.broadcast(before), part).select(*columns, (F.col(row) + F.coalesce(first, F.lit(0))).alias(number))
     return numbered.mapInArrow(run, rows.select(*columns).schema.add("shard", T.IntegerType()).add("slot", "long"))
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, session_parallelism, starts_of, whole_groups, written
+from quarry.llm.common import as_bytes, fresh, session_parallelism, starts_of, whole_groups, written
 from quarry.llm.components import components
 
 
@@ -171,5 +171,6 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     marks = near_duplicates(docs, **options)
     kept = marks.where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = docs.join(kept, "doc_id").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*docs.columns)
+    rank = fresh("rank", docs.columns)
+    first = docs.join(kept, "doc_id").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
     return first.unionByName(docs.where("doc_id is null"))

@@ -17,10 +17,10 @@ def test_permutation_and_inverse(n):
 
 
 def test_table(spark):
-    rows = [(i if i % 9 else None, f"t{i}", 5, "x") for i in range(203)] + [(5, "t5", 5, "x")] * 3
-    df = spark.createDataFrame(rows, "doc_id long, text string, slot int, law string")
+    rows = [(i if i % 9 else None, f"t{i}", 5, "x", 1) for i in range(203)] + [(5, "t5", 5, "x", 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot int, law string, part int")
     got = sharding.assigned(df, ["doc_id", "text"]).toPandas()
-    assert list(got.columns) == ["doc_id", "text", "law", "shard", "slot"]
+    assert list(got.columns) == ["doc_id", "text", "law", "part", "shard", "slot"]
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     shard, slot = sharding.place(np.arange(len(rows)), len(rows), 8)
     want = sorted((r[1], s, t) for r, s, t in zip(ordered, shard.tolist(), slot.tolist()))

@@ -54,7 +54,7 @@ def test_blocks_lose_no_link(spark, rows):
 
 
 def test_one_of_each(spark, rows):
-    df = spark.createDataFrame([*rows, rows[0], (None, "q", "en", "x")], SCHEMA)
+    df = spark.createDataFrame([*rows, rows[0], (None, "q", "en", "x")], SCHEMA).withColumnRenamed("lang", "Rank")
     got = simhash.one_of_each(df)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == sorted({c for _, _, c in brute(rows)})

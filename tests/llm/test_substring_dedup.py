@@ -6,7 +6,7 @@ import pytest
 
 from quarry.llm import substring_dedup as sd
 
-SCHEMA = "doc_id long, text string, lang string, n_words string"
+SCHEMA = "doc_id long, text string, lang string, n_words string, key string, Spans string"
 
 
 def brute(rows, window):
@@ -24,8 +24,8 @@ def brute(rows, window):
 
 
 def got(spark, rows, **options):
-    df = sd.deduplicated(spark.createDataFrame(rows, SCHEMA), rejoin=True, **options)
-    assert df.columns == ["doc_id", "text", "lang", "n_words", "n_removed"]
+    df = sd.deduplicated(spark.createDataFrame([(*r, "k", "s") for r in rows], SCHEMA), rejoin=True, **options)
+    assert df.columns == ["doc_id", "text", "lang", "key", "Spans", "n_words", "n_removed"]
     return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in df.collect()), key=str)
 
 
@@ -54,7 +54,7 @@ def test_short_windows_more_batches_and_crowded_anchors(spark, rows):
 
 
 def test_untouched_text_stays(spark):
-    df = sd.deduplicated(spark.createDataFrame([(1, "a  b\nc", "", ""), (2, None, "", "")], SCHEMA))
+    df = sd.deduplicated(spark.createDataFrame([(1, "a  b\nc", "", "", "", ""), (2, None, "", "", "", "")], SCHEMA))
     assert {r.doc_id: r.text for r in df.collect()} == {1: "a  b\nc", 2: None}
 
 
