@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import embedding_dedup, packing, pieces, quality_gam, quality_rules, sharding, simhash, substring_dedup, toxicity, warc
+from quarry.llm import embedding_dedup, oracles, packing, pieces, quality_gam, quality_rules, sharding, simhash, substring_dedup, toxicity, warc
 from quarry.llm.common import scratch_path, table
 
 
@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_warc": oracles.WARC, "op4_embedding_dedup": oracles.EMBEDDING_DEDUP}
