@@ -164,3 +164,9 @@ def retained(log: DataFrame, now: dt.datetime, days: float = RETENTION_DAYS) ->
 def redacted(rows: DataFrame, keep_text: bool) -> DataFrame:
     """Rows for the log, without their texts unless these may be kept."""
     return rows if keep_text else rows.withColumn("query_text", F.lit(REDACTED))
+
+
+def latency_sample(log: DataFrame, period: Period, most: int = P95_ROW_CAP, seed: int = 0) -> DataFrame:
+    """Latencies of a window, all of them or a random sample of the given size, for histograms."""
+    rows = log.where(_live() & _told() & period.holds()).select("latency_ms")
+    return rows.orderBy(F.rand(seed)).limit(most)

@@ -69,3 +69,19 @@ def transcripts(messages: DataFrame) -> DataFrame:
     line = F.concat(F.lit("["), F.col("position"), F.lit("] "), F.coalesce("author", F.lit("unknown")), F.lit(": "), F.coalesce("text", F.lit("")))
     by = messages.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
     return by.select("thread", F.array_join(F.transform("lines", lambda r: r["line"]), "\n\n").alias("transcript"))
+
+
+def skill_text(config: dict) -> str:
+    """What an assistant is told about a server: its tools, what they search and how to call them."""
+    lines = [f"# {config['server']['name']}", "", config["server"].get("description") or "Search tools over indexed sources.", "", "## Tools", ""]
+    for t in config.get("tools") or []:
+        sources = t.get("sources") or [t["source"]] if t.get("sources") or t.get("source") else []
+        lines.append(f"- `{t['name']}` ({t['type']}{', over ' + ', '.join(sources) if sources else ''})" + (f": {t['description']}" if t.get("description") else ""))
+    return "\n".join(lines) + "\n"
+
+
+def index_text(chunks: DataFrame) -> DataFrame:
+    """One row: the text of the file INDEX, a line for each folder of sources with its numbers of files and chunks."""
+    by = chunks.groupBy("source_name").agg(F.count_distinct("file_path").alias("files"), F.count("*").alias("chunks"))
+    line = F.concat(F.lit("/"), "source_name", F.lit("/  "), "files", F.lit(" files, "), "chunks", F.lit(" chunks"))
+    return by.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))

@@ -86,3 +86,8 @@ def test_bars_sum_to_the_total(spark, rows):
     df = log(spark, [{"created_at": DAY - dt.timedelta(days=d), "latency_ms": ms, "query_text": q} for d, ms, q in rows])
     p = period(days=8)
     assert a.per_day(df, p).agg(F.sum("n")).first()[0] == a.summary(df, p).first().window_total
+
+
+def test_latency_sample(spark):
+    rows = log(spark, [{"latency_ms": v} for v in range(30)] + [{"latency_ms": -1}])
+    assert a.latency_sample(rows, period(), 10).count() == 10 and a.latency_sample(rows, period()).count() == 30

@@ -64,3 +64,10 @@ def test_configurations():
         ({"tools": [{"name": "c", "type": "collect"}]}, "schema"), ({"embedding": None, "tools": [{"name": "b", "type": "bash", "sources": ["d"], "grep_strategy": "hybrid"}]}, "grep needs"),
     ):
         assert any(said in e for e in config.errors(GOOD | change)), said
+
+
+def test_texts_about_the_server(box):
+    from quarry.operators import render
+
+    assert render.skill_text(GOOD | {"server": {"name": "acme"}}).startswith("# acme\n") and "- `k` (knowledge, over f)" in render.skill_text(GOOD | {"server": {"name": "acme"}})
+    assert render.index_text(box.chunks).first().text == "/code/  1 files, 1 chunks\n/docs/  2 files, 2 chunks"
