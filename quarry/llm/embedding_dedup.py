@@ -127,7 +127,7 @@ def _compare(bucket: np.ndarray, x: np.ndarray, own: np.ndarray, block: np.ndarr
     return links, edges
 
 
-def near_duplicates(rows: DataFrame, limit: float = 0.98, tables: int = 4, hashes: int = 3, probes: int = 2, block: int = 2048) -> DataFrame:
+def near_duplicates(rows: DataFrame, limit: float = 0.98, tables: int = 4, hashes: int = 3, probes: int = 2, block: int = 512) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
     spark = rows.sparkSession
     n = session_parallelism(spark)
