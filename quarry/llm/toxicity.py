@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words (lower case, outer punctuation stripped) and their prefixes of ``PREFIXES`` letters. The vocabulary
-holds the terms whose presence goes with the label among the examples beyond what chance would give any of the
-candidates (log-likelihood ratio against 2 ln(candidates) + ``MARGIN``), at most ``vocabulary`` of them. Document
-frequencies cover all documents. Examples are at most ``per_class`` labelled documents of each label; they are the
+holds all terms of the examples. A term weighs its idf times its significance: how far its presence goes with the
+label among the examples, against what chance would give any of the candidates (log-likelihood ratio against
+2 ln(candidates) + ``MARGIN``; 1 from there on, ``FLOOR`` at least, so that no term is left out). Document frequencies
+cover all documents. Examples are at most ``per_class`` labelled documents of each label; they are the
 index, so what is broadcast has a fixed bound. They are drawn from the ``DRAWN * per_class`` of each label with the
 smallest hash of doc_id; of copies and near copies (equal least shingle hashes) one is drawn, else the words of a
 much-copied text would pass for signs of its label.
 
-The index keeps, for each term, its postings in blocks of ``BLOCK`` examples with the largest weight of each block. A
-query adds up these maxima, visits blocks by falling bound and leaves out those whose bound can't reach the k-th best
-score: the k neighbours are exact, ties going to the earlier example. Their votes are weighted by 1 / (distance + 0.05)
+The index keeps long posting lists (of over 1 / ``LONG`` of the examples) in blocks of ``BLOCK`` examples with the
+largest weight of each block. A query adds up its short lists, then these maxima, and leaves out the examples whose
+bound can't reach the k-th best sum: the k neighbours are exact, ties going to the earlier example. Their votes are weighted by 1 / (distance + 0.05)
 and by class, so that the sampling of examples does not shift them, and the vote is mapped to a score by isotonic regression
 over leave-one-out votes of the examples.
 
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import MIX, written
 
-PREFIXES, BLOCK, MARGIN, LEAST_DOCS, DRAWN = (4, 5, 6), 64, 4.0, 3, 4
+PREFIXES, BLOCK, LONG, MARGIN, FLOOR, LEAST_DOCS, DRAWN = (4, 5, 6), 64, 16, 4.0, 0.02, 3, 4
 _OUTER = ".,;:!?\"'()[]{}<>-_*#$%&|…«»„“”"
+#: Of the share of the bar that a term's ratio reaches: terms that chance could give weigh little.
+POWER = 2
 SCORED = "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, similarity: double>>"
 
 
@@ -69,37 +72,39 @@ class BlockMaxIndex:
 
     size: int
     rows: list[tuple[np.ndarray, np.ndarray]]
-    _dense: np.ndarray | None = None
+    _built: tuple[np.ndarray, ...] | None = None
 
-    def _lists(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights by term and example, and the largest of each term and block."""
-        if self._dense is None:
+    def _lists(self) -> tuple[np.ndarray, ...]:
+        """Short lists one after the other (starts, examples, weights); slots of the long ones, their weights and the largest of each block."""
+        if self._built is None:
             blocks = -(-max(1, len(self.rows)) // BLOCK)
-            self._dense = np.zeros((self.size, blocks, BLOCK), dtype=np.float64)
-            for i, (ids, weights) in enumerate(self.rows):
-                self._dense[ids, i // BLOCK, i % BLOCK] = weights
-            self._most = self._dense.max(2)
-        return self._dense, self._most
+            terms, weights = (np.concatenate([r[i] for r in self.rows]) if self.rows else np.zeros(0, kind) for i, kind in ((0, np.int64), (1, np.float64)))
+            examples = np.repeat(np.arange(len(self.rows)), [len(r[0]) for r in self.rows])
+            long = np.flatnonzero(np.bincount(terms, minlength=self.size) * LONG > len(self.rows))
+            slots = np.full(self.size, -1)
+            slots[long] = np.arange(len(long))
+            own = slots[terms]
+            dense = np.zeros((len(long), blocks * BLOCK))
+            dense[own[own >= 0], examples[own >= 0]] = weights[own >= 0]
+            order = np.argsort(terms, kind="stable")
+            order = order[own[order] < 0]
+            starts = np.searchsorted(terms[order], np.arange(self.size + 1))
+            self._built = starts, examples[order], weights[order], slots, dense, dense.reshape(len(long), blocks, BLOCK).max(2)
+        return self._built
 
     def search(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine and these cosines, in falling order."""
-        lists, most = self._lists()
-        bound = weights @ most[ids]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, -(-k // BLOCK)
-        while at < len(order):
-            if len(scores) >= k:
-                order = order[: at + int(np.searchsorted(-bound[order[at:]], -(scores[k - 1] - 1e-9), "right"))]
-                if at >= len(order):
-                    break
-            part = order[at : at + step]
-            got = np.einsum("t,tbe->be", weights, lists[np.ix_(ids, part)])
-            found = np.concatenate((found, (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()))
-            scores = np.concatenate((scores, got.ravel()))
-            keep = np.lexsort((found, -scores))[:k]
-            found, scores = found[keep], scores[keep]
-            at, step = at + step, step * 4
+        starts, examples, values, slots, dense, most = self._lists()
+        n, long = len(self.rows), slots[ids] >= 0
+        first, lengths = starts[ids[~long]], starts[ids[~long] + 1] - starts[ids[~long]]
+        at = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        sums = np.bincount(examples[at], values[at] * np.repeat(weights[~long], lengths), n)
+        bound = sums + np.repeat(weights[long] @ most[slots[ids[long]]], BLOCK)[:n]
+        least = np.partition(sums, n - k)[n - k] if n > k else 0.0
+        found = np.flatnonzero((bound > 0) & (bound >= least - 1e-9))
+        scores = sums[found] + weights[long] @ dense[np.ix_(slots[ids[long]], found)]
+        keep = np.lexsort((found, -scores))[:k]
+        found, scores = found[keep], scores[keep]
         positive = scores > 0
         return found[positive], scores[positive]
 
@@ -107,7 +112,8 @@ class BlockMaxIndex:
 @dataclass
 class Model:
     vocabulary: list[str] = field(default_factory=list)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Of each term, idf times significance.
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     index: BlockMaxIndex | None = None
     doc_ids: list[int] = field(default_factory=list)
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
@@ -119,7 +125,7 @@ class Model:
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[ids]
+        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weights[ids]
         return ids, w / max(np.sqrt((w * w).sum()), 1e-12)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
@@ -202,12 +208,12 @@ def _frequencies(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["term", "n"])
 
     out = np.zeros(len(vocabulary))
-    for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r.term] = r.n
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, vocabulary: int = 2048, k: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15) -> Model:
     """labels: doc_id and toxic of the rows to learn from."""
     own = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     totals = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
@@ -220,15 +226,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, vocabulary: i
     model = Model(k=k, bare=totals.get(1, 0) / sum(totals.values()) if totals else 0.5)
     if not n0 or not n1:
         return model
-    terms = written(_term_counts(sample).where(F.col("n0") + F.col("n1") >= LEAST_DOCS), "terms")
+    terms = written(_term_counts(sample), "terms")
     entropy = lambda *cells: sum(F.when(c > 0, c * F.log(c / t)).otherwise(0.0) for c, t in cells)
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
     with_, without = a + b, n0 + n1 - a - b
     g = 2 * entropy((a, with_ * n1 / (n0 + n1)), (b, with_ * n0 / (n0 + n1)), (n1 - a, without * n1 / (n0 + n1)), (n0 - b, without * n0 / (n0 + n1)))
-    bar = 2 * float(np.log(max(terms.count(), 1))) + MARGIN
-    model.vocabulary = [r.term for r in terms.select("term", g.alias("g")).where(F.col("g") >= bar).orderBy(F.desc("g"), "term").limit(vocabulary).collect()]
+    bar = 2 * float(np.log(max(terms.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).count(), 1))) + MARGIN
+    ranked = terms.select("term", g.alias("g")).orderBy(F.desc("g"), "term").toArrow()  # of at most 2 * per_class texts
+    model.vocabulary = ranked["term"].to_pylist()
     df = _frequencies(docs, model.vocabulary)
-    model.idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    significance = np.clip(ranked["g"].to_numpy() / bar, 0, 1) ** POWER
+    model.weights = (np.log((1 + docs.count()) / (1 + df)) + 1) * np.maximum(significance, FLOOR)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms(model.vocabulary)
