@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,27 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def hash_sample(rows: DataFrame, n: int, total: int) -> DataFrame:
+    """The n rows with the smallest hash of doc_id, of so many with different doc_ids in all (n less a few, once in millions of times).
+    Only rows below a bound on the hash, about n of them, are sorted, however many tasks read the table."""
+    share = min(1.0, (n + 6 * n**0.5 + 16) / max(1, total))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    return rows.where(F.xxhash64("doc_id") <= bound).orderBy(F.xxhash64("doc_id"), *rows.columns).limit(n)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a string column holds about most bytes or one row; empty ones stay."""
+    for batch in batches:
+        ends = np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+        lo = 0
+        while True:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+            if lo >= batch.num_rows:
+                break
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
