@@ -12,7 +12,7 @@ from quarry.functions import ip, scalar
 from quarry.operators import analytics as a
 from quarry.operators import chunking, render, search, upkeep
 from quarry.plans import indexing, schedule
-from quarry.sources import conversations, crawl, views
+from quarry.sources import conversations, crawl, files, views
 from quarry.sources.views import table
 from quarry.streaming import ratelimit, sessions
 
@@ -47,9 +47,9 @@ WITH chunks AS (
   SELECT doc_id AS id, source AS source_name, concat('https://docs.example.com/', source, '/', doc_id) AS source_url,
     CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('Title ', doc_id) END AS title, text AS content, CAST(embedding AS DOUBLE[]) AS embedding,
     CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('https://git.example.com/', lang) END AS repo_url,
-    concat(lang, '/', source, '/', doc_id // 4, '.md') AS file_path, n_chars AS end_line, lang AS language, CAST(doc_id % 4 AS INT) AS chunk_index,
+    concat('docs/', doc_id // 16, '.md') AS file_path, n_chars AS end_line, lang AS language, CAST(doc_id % 16 AS INT) AS chunk_index,
     doc_id % 10 + 0.5 AS confidence, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INT)) AS indexed_at, concat('v', doc_id % 2) AS version
-  FROM documents JOIN embeddings ON doc_id = vec_id
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id
 )"""
 QUERY_SQL = "[" + ", ".join(f"{x!r}" for x in QUERY) + "]::DOUBLE[]"
 COSINE = f"list_cosine_similarity(embedding, {QUERY_SQL})"
@@ -165,19 +165,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.vector_search(rows, QUERY, 10).select("id", "similarity"), "similarity")
 
 
-@query("vector_topk_filtered", f"{CHUNKS_SQL} SELECT id, file_path, round(similarity, 6) AS similarity FROM (SELECT id, file_path, {COSINE} AS similarity FROM chunks WHERE source_name = 'src1' AND version = 'v1' ORDER BY similarity DESC, id LIMIT 10) WHERE similarity >= -1.0")
+@query("vector_topk_filtered", f"{CHUNKS_SQL} SELECT id, file_path, round(similarity, 6) AS similarity FROM (SELECT id, file_path, {COSINE} AS similarity FROM chunks WHERE source_name = 'src1' AND version = 'v1' ORDER BY similarity DESC, id LIMIT 10) WHERE similarity >= 0.2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    found = search.vector_search(views.chunks(spark, d), QUERY, 10, "src1", "v1", -1.0)
+    found = search.vector_search(views.chunks(spark, d), QUERY, 10, "src1", "v1", 0.2)
     return rounded(found.select("id", "file_path", "similarity"), "similarity")
 
 
-@query("keyword_simple", f"{CHUNKS_SQL.replace('JOIN embeddings ON doc_id = vec_id', 'CROSS JOIN (SELECT NULL AS embedding)')} {RANK_BY_WORDS} 20")
+@query("keyword_simple", f"{CHUNKS_SQL} {RANK_BY_WORDS} 20")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return search.simple_keyword_search(docs, WORDS, 20).select("id", "similarity")
 
 
-@query("keyword_postings", f"{CHUNKS_SQL.replace('JOIN embeddings ON doc_id = vec_id', 'CROSS JOIN (SELECT NULL AS embedding)')} {RANK_BY_WORDS} 20")
+@query("keyword_postings", f"{CHUNKS_SQL} {RANK_BY_WORDS} 20")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return search.postings_search(search.postings(docs), WORDS, 20)
@@ -208,6 +208,11 @@ WITH faq AS (
 )"""
 
 
+#: The first line after Q:, and what follows the first line that begins with A:.
+QUESTION_SQL = r"nullif(trim(regexp_extract(content, '^Q:\s*([^\n\r\x{85}\x{2028}\x{2029}]+?)(?:\n|$)', 1), ' '), '')"
+ANSWER_SQL = r"md5(CASE WHEN contains(content, chr(10) || 'A:') THEN trim(regexp_extract(content, '\nA:\s*([\s\S]*)', 1), ' ') ELSE content END)"
+
+
 def faq_chunks(spark: SparkSession, d: str) -> DataFrame:
     """A question and answer of each conversation."""
     turns = table(spark, d, "conversations")
@@ -224,10 +229,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.faq_browse(faq_chunks(spark, d), ["faq0", "faq2"], 0.7, 100).select("id", "source_name", "title", F.md5("content").alias("content_md5"), "confidence")
 
 
-@query("faq_answers", f"{FAQ_SQL} SELECT id, title AS question, md5(trim(split_part(content, chr(10) || 'A: ', 2), ' ')) AS answer_md5 FROM faq WHERE strpos(title, chr(10)) = 0 AND title <> ''")
+@query("faq_answers", f"{FAQ_SQL} SELECT id, {QUESTION_SQL} AS question, {ANSWER_SQL} AS answer_md5 FROM faq")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    faq = faq_chunks(spark, d).where(~F.contains("title", F.lit("\n")) & (F.col("title") != ""))
-    return faq.select("id", scalar.question(F.col("content")).alias("question"), F.md5(scalar.answer(F.col("content"))).alias("answer_md5"))
+    return faq_chunks(spark, d).select("id", scalar.question(F.col("content")).alias("question"), F.md5(scalar.answer(F.col("content"))).alias("answer_md5"))
 
 
 @query(
@@ -368,9 +372,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return digested(chunking.chunked(item_rows(spark, d), "raw-text")).select("id", "chunk_index", "content_md5")
 
 
-@query("chunk_qa", f"{FAQ_SQL} SELECT CAST(id AS VARCHAR) AS id, CAST(0 AS INT) AS chunk_index, title, md5(trim(content, {SPACES_SQL})) AS content_md5 FROM faq WHERE strpos(title, chr(10)) = 0 AND title <> ''")
+JOINED_SQL = f"""
+WITH RECURSIVE items AS (SELECT concat('docs/', doc_id // 16) AS id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY 1),
+ps AS (SELECT id, list_filter(list_transform(regexp_split_to_array(content, '\\n\\n+'), lambda p: trim(p, {SPACES_SQL})), lambda p: p <> '') AS p FROM items),
+fold AS (
+  SELECT id, p, 1 AS i, 0 AS k, len(p[1]) AS size FROM ps WHERE len(p) > 0
+  UNION ALL
+  SELECT id, p, i + 1, CASE WHEN size + 2 + len(p[i + 1]) <= 2400 THEN k ELSE k + 1 END, CASE WHEN size + 2 + len(p[i + 1]) <= 2400 THEN size + 2 + len(p[i + 1]) ELSE len(p[i + 1]) END FROM fold WHERE i < len(p)
+),
+whole AS (SELECT id, k, string_agg(p[i], chr(10) || chr(10) ORDER BY i) AS t FROM fold GROUP BY 1, 2),
+ends AS (SELECT *, right(lag(t) OVER (PARTITION BY id ORDER BY k), 200) AS e FROM whole)
+SELECT id, CAST(k AS INT) AS chunk_index, md5(trim(CASE WHEN e IS NULL THEN t ELSE concat(CASE WHEN contains(e, chr(10)) THEN concat(chr(10), list_last(str_split(e, chr(10)))) ELSE e END, chr(10), chr(10), t) END, {SPACES_SQL})) AS content_md5 FROM ends"""
+
+
+@query("chunk_raw_text_joined", JOINED_SQL)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Files of up to sixteen documents, one after the other: paragraphs are merged, split into chunks and overlap."""
+    parts = table(spark, d, "documents").where("text IS NOT NULL").groupBy(F.concat(F.lit("docs/"), F.expr("doc_id DIV 16")).alias("id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("all"))
+    items = parts.select("id", F.array_join(F.transform("all", lambda r: r["text"]), "\n\n").alias("content"))
+    return digested(chunking.chunked(items, "raw-text")).select("id", "chunk_index", "content_md5")
+
+
+@query("chunk_qa", f"{FAQ_SQL} SELECT CAST(id AS VARCHAR) AS id, CAST(0 AS INT) AS chunk_index, {QUESTION_SQL} AS title, md5(trim(content, {SPACES_SQL})) AS content_md5 FROM faq WHERE trim(content, {SPACES_SQL}) <> ''")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    faq = faq_chunks(spark, d).where(~F.contains("title", F.lit("\n")) & (F.col("title") != "")).select(F.col("id").cast("string").alias("id"), "content")
+    faq = faq_chunks(spark, d).select(F.col("id").cast("string").alias("id"), "content")
     return digested(chunking.chunked(faq, "qa")).select("id", "chunk_index", "title", "content_md5")
 
 
@@ -435,20 +460,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("session_admission")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.concat(F.lit("10.0.0."), F.col("user_id") % 50).alias("ip"), F.col("user_id").cast("string").alias("sid"), "ts", F.when(F.col("event_type") == "purchase", "close").otherwise("open").alias("kind"))
-    marked = ip.allowlisted(rows, ["10.0.0.0/29"])
+    # four users share an address, and of eight users two share a session from different addresses
+    sid = "CASE WHEN (user_id + 1) % 8 < 2 THEN (user_id + 1) DIV 8 * 8 ELSE user_id END"
+    rows = table(spark, d, "events").selectExpr("concat('10.0.', user_id DIV 4 DIV 256 % 256, '.', user_id DIV 4 % 256) AS ip", f"CAST({sid} AS STRING) AS sid", "ts", "CASE event_type WHEN 'purchase' THEN 'close' ELSE 'open' END AS kind")
+    marked = ip.allowlisted(rows, ["10.0.0.0/31"])
     return sessions.admitted(marked, per_ip=3).groupBy("ip", "verdict").agg(F.count("*").alias("n"))
 
 
 @query(
     "startup_plan",
     """WITH s AS (SELECT source, max(doc_id) AS token, min(doc_id) AS old, count(*) AS n FROM documents GROUP BY 1)
-    SELECT source AS source_key, CASE WHEN n % 3 = 0 THEN 'full' WHEN n % 3 = 1 THEN 'incremental' ELSE CASE WHEN token = old THEN 'none' ELSE 'incremental' END END AS action FROM s""",
+    SELECT source AS source_key, CASE WHEN n % 3 = 0 THEN 'full' WHEN n % 5 = 0 THEN 'full' WHEN n % 3 = 1 THEN 'incremental' ELSE CASE WHEN token = old THEN 'none' ELSE 'incremental' END END AS action FROM s""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     by = table(spark, d, "documents").groupBy("source").agg(F.max("doc_id").cast("string").alias("token"), F.min("doc_id").cast("string").alias("old"), F.count("*").alias("n"))
     sources = by.select(F.lit("code").alias("source_type"), F.col("source").alias("source_key"), (F.col("n") % 3 == 1).alias("local"), F.col("token").alias("current_token"))
-    states = by.where("n % 3 != 0").select(F.lit("code").alias("source_type"), F.col("source").alias("source_key"), F.col("old").alias("last_commit_sha"), F.lit("idle").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("last_indexed_at"))
+    states = by.where("n % 3 != 0").select(F.lit("code").alias("source_type"), F.col("source").alias("source_key"), F.when(F.col("n") % 5 != 0, F.col("old")).alias("last_commit_sha"), F.lit("idle").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("last_indexed_at"))
     return schedule.startup_actions(sources, states, "2024-01-02 12:00:00").select("source_key", "action")
 
 
@@ -457,22 +484,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return conversations.participants(views.threads(spark, d)).select("thread", F.array_join("participants", ",").alias("participants"))
 
 
-@query("source_snapshot", "SELECT source AS path, count(*) AS n, sha256(string_agg(concat(doc_id, ':', n_chars, chr(10)), '' ORDER BY concat(doc_id, ':', n_chars, chr(10)))) AS token FROM documents GROUP BY 1")
+@query("source_snapshot", """WITH l AS (SELECT source, concat(doc_id, ':', n_chars, chr(10)) AS line FROM documents),
+    p AS (SELECT source, substr(md5(line), 1, 3) AS part, count(*) AS n, sha256(string_agg(line, '' ORDER BY line)) AS digest FROM l GROUP BY 1, 2)
+    SELECT source AS path, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(concat(part, ':', digest, chr(10)), '' ORDER BY part)) AS token FROM p GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("source", F.concat("doc_id", F.lit(":"), "n_chars", F.lit("\n")).alias("line"))
-    return lines.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("token"))
+    lines = table(spark, d, "documents").select(F.col("source").alias("path"), F.concat("doc_id", F.lit(":"), "n_chars", F.lit("\n")).alias("line"))
+    return files.digests(lines, "path").withColumnRenamed("digest", "token")
 
 
-@query("inverted_index", f"{CHUNKS_SQL.replace('JOIN embeddings ON doc_id = vec_id', 'CROSS JOIN (SELECT NULL AS embedding)')} SELECT term, count(DISTINCT id) AS chunks, count(*) AS occurrences FROM (SELECT id, unnest({TOKENS}) AS term FROM chunks) GROUP BY 1")
+@query("inverted_index", f"{CHUNKS_SQL} SELECT term, count(DISTINCT id) AS chunks, count(*) AS occurrences FROM (SELECT id, unnest({TOKENS}) AS term FROM chunks) GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return search.postings(docs).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"))
 
 
-@query("faq_text", f"{FAQ_SQL} SELECT source_name, title, md5(trim(split_part(content, chr(10) || 'A: ', 2), ' ')) AS answer_md5 FROM faq WHERE source_name IN ('faq2', 'faq0') AND strpos(title, chr(10)) = 0 AND title <> ''")
+@query("faq_text", f"{FAQ_SQL} SELECT source_name, title, {ANSWER_SQL} AS answer_md5 FROM faq WHERE source_name IN ('faq2', 'faq0')")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    faq = faq_chunks(spark, d).where(~F.contains("title", F.lit("\n")) & (F.col("title") != ""))
-    return render.faq_text(faq, ["faq2", "faq0"]).select("source_name", "title", F.md5("answer").alias("answer_md5"))
+    return render.faq_text(faq_chunks(spark, d), ["faq2", "faq0"]).select("source_name", "title", F.md5("answer").alias("answer_md5"))
 
 
 @query("index_file_tree", f"{CHUNKS_SQL} SELECT path, CAST(sum(strlen(content)) AS BIGINT) AS size, count(*) AS chunks FROM (SELECT concat('/', source_name, '/', file_path) AS path, content FROM chunks) GROUP BY 1")

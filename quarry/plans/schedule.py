@@ -13,14 +13,14 @@ def stale(now: str, hours: float = 24) -> Column:
 
 
 def startup_actions(sources: DataFrame, states: DataFrame, now: str, hours: float = 24) -> DataFrame:
-    """An action for each source (source_type, source_key, local, current_token; current_token null where it couldn't be read): full, incremental or none.
+    """An action for each source (source_type, source_key, local, current_token; current_token null where the check failed, empty where the source is not there): full, incremental or none.
 
-    Sources without state or with a failed one are read in full, local ones always incrementally; others if their token
+    Sources without state, or with a state that failed or has no token, are read in full, local ones always incrementally; others if their token
     changed, and if that can't be told, if they are stale. If all would be read in full, they are marked as one run.
     """
     rows = sources.join(states, ["source_type", "source_key"], "left")
     action = (
-        F.when(F.col("status").isNull() | (F.col("status") == "error"), "full")
+        F.when(F.col("status").isNull() | (F.col("status") == "error") | (F.coalesce("last_commit_sha", F.lit("")) == ""), "full")
         .when(F.col("local"), "incremental")
         .when(F.col("current_token").isNotNull(), F.when(F.col("current_token").eqNullSafe(F.col("last_commit_sha")), "none").otherwise("incremental"))
         .otherwise(F.when(stale(now, hours), "incremental").otherwise("none"))

@@ -1,8 +1,12 @@
-"""Session settings the library expects."""
+"""Session settings the library expects, and tables in the folder that a cluster shares."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,3 +23,32 @@ def session(master: str | None = None, app: str = "quarry", **more: str) -> Spar
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | more).getOrCreate()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quarry-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine if all
+    executors are threads of the driver, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/quarry/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: cuts the lineage and outlives lost executors."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

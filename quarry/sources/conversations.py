@@ -35,8 +35,9 @@ def with_authors(messages: DataFrame, users: DataFrame, teams: DataFrame | None
 
 def participants(messages: DataFrame) -> DataFrame:
     """The authors of each thread by their first message."""
-    by = messages.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("position", "author"))).alias("all"))
-    return by.select("thread", F.array_distinct(F.transform("all", lambda m: m["author"])).alias("participants"))
+    firsts = messages.groupBy("thread", "author").agg(F.min("position").alias("position"))
+    by = firsts.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("position", "author"))).alias("all"))
+    return by.select("thread", F.transform("all", lambda m: m["author"]).alias("participants"))
 
 
 def discord_threads(threads: DataFrame, min_messages: int = 2, since: str | None = None) -> DataFrame:
@@ -59,15 +60,19 @@ def shortened(text: Column, most: int = ANSWER_CHARS) -> Column:
 
 
 def forum_items(threads: DataFrame, messages: DataFrame) -> DataFrame:
-    """A question and answer of each forum thread: its name, and its messages with their authors but blank ones and a first one that repeats the name."""
-    said = messages.where(F.length(F.btrim("text")) > 0).groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("position", "author", F.btrim("text").alias("text")))).alias("all"))
+    """A question and answer of each forum thread: its name, and its messages with their authors but blank ones and a first one that says no
+    more than the name or a beginning of it. Threads that have a column url pass it on."""
+    said = messages.groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("position", "author", "text"))).alias("all"))
     rows = threads.join(said, threads["id"] == said["thread"])
-    own = F.when(F.lower(F.get("all", F.lit(0))["text"]) == F.lower(F.btrim("name")), F.slice("all", F.lit(2), F.size("all"))).otherwise(F.col("all"))
+    opening = F.lower(F.btrim(F.get("all", F.lit(0))["text"]))
+    repeats = (opening != "") & F.startswith(F.lower(F.btrim("name")), opening)
+    own = F.filter(F.when(repeats, F.slice("all", F.lit(2), F.size("all"))).otherwise(F.col("all")), lambda m: F.length(F.btrim(m["text"])) > 0)
     text = F.array_join(F.transform(own, lambda m: F.concat(m["author"], F.lit(": "), m["text"])), "\n\n")
     rows = rows.withColumn("answer", shortened(text)).where(F.length("answer") > 0)
+    url = F.col("url") if "url" in threads.columns else F.lit(None)
     return rows.select(
-        F.concat("channel", F.lit(":"), "id").alias("id"), F.concat(F.lit("Q: "), "name", F.lit("\n\nA: "), "answer").alias("content"), F.col("name").alias("title"), F.lit(None).cast("string").alias("source_url"),
-        F.to_json(F.struct(F.lit(1.0).alias("confidence"))).alias("metadata"),
+        F.concat("channel", F.lit(":"), "id").alias("id"), F.concat(F.lit("Q: "), "name", F.lit("\n\nA: "), "answer").alias("content"), F.col("name").alias("title"), url.cast("string").alias("source_url"),
+        F.to_json(F.struct("channel", F.lit(1.0).alias("confidence"), F.lit(True).alias("forumThread"))).alias("metadata"),
     )
 
 

@@ -78,10 +78,18 @@ def changes(before: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
     return now.join(before, ["path", "hash"], "left_anti").select("path"), before.join(now, "path", "left_anti").select("path")
 
 
+def digests(lines: DataFrame, *keys: str) -> DataFrame:
+    """The number of lines (column line) of each key and a SHA-256 of them that does not hang on their order. Lines are digested in 4096 parts, by the
+    first digits of their MD5, and then the parts, so no task gathers the lines of a key."""
+    parts = lines.groupBy(*keys, F.substring(F.md5("line"), 1, 3).alias("part")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256).alias("digest"))
+    told = F.concat("part", F.lit(":"), "digest", F.lit("\n"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(told)), ""), 256).alias("digest"))
+
+
 def state_token(files: DataFrame) -> DataFrame:
     """One row with a token that changes with any path or time of change."""
     lines = files.select(F.concat("path", F.lit(":"), F.unix_millis("modified"), F.lit("\n")).alias("line"))
-    return lines.agg(F.concat(F.lit("local-"), F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), ""), 256), 1, 12)).alias("token"))
+    return digests(lines).select(F.concat(F.lit("local-"), F.substring("digest", 1, 12)).alias("token"))
 
 
 def git(folder: str, *args: str) -> str:

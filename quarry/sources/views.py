@@ -26,14 +26,14 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table, from documents and the embeddings with their numbers; four documents make a file."""
+    """The chunk table, from all documents and, where there are any, the embeddings with their numbers; up to sixteen documents of a source make a file."""
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    joined = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    joined = docs.join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
     return joined.selectExpr(
         "doc_id AS id", "source AS source_name", "concat('https://docs.example.com/', source, '/', doc_id) AS source_url",
         "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat('Title ', doc_id) END AS title", "text AS content", "embedding",
         "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('https://git.example.com/', lang) END AS repo_url",
-        "concat(lang, '/', source, '/', doc_id DIV 4, '.md') AS file_path", "CAST(1 AS INT) AS start_line", "CAST(n_chars AS INT) AS end_line", "lang AS language", "CAST(doc_id % 4 AS INT) AS chunk_index",
+        "concat('docs/', doc_id DIV 16, '.md') AS file_path", "CAST(1 AS INT) AS start_line", "CAST(n_chars AS INT) AS end_line", "lang AS language", "CAST(doc_id % 16 AS INT) AS chunk_index",
         "concat('{\"confidence\": ', CAST((doc_id % 10) AS INT), '.5}') AS metadata",
         "timestampadd(MINUTE, CAST(doc_id AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS indexed_at", "'0000000' AS commit_sha", "concat('v', doc_id % 2) AS version",
     )

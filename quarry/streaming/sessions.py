@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import components
+
 #: Fixed defaults.
 USED_TTL, UNUSED_TTL, PER_IP, GLOBAL = 30 * 60, 15 * 60, 20, 1000
 
@@ -28,39 +30,50 @@ def reaped(sessions: DataFrame, now: str, used_ttl: int = USED_TTL, unused_ttl:
 def admitted(events: DataFrame, per_ip: int = PER_IP) -> DataFrame:
     """events (ip, sid, ts, kind open or close, allowed) with their verdict: open, again, bypass, closed, rate-limit or sid-collision.
 
-    A session of an allowed address bypasses the cap and is not counted; opening it again from the same address changes
-    nothing; from another address it is refused.
+    Opens from an allowed address bypass all checks and leave no trace. An admitted open makes its address the owner of
+    the session and counts there until the session is closed, from whatever address. An open of an owned session changes
+    nothing if it comes from the owner, and is refused from any other address; a refused open owns nothing.
+
+    One verdict may hang on all earlier ones of the addresses and sessions that it is linked with by other events, so linked addresses
+    form a group, and each group's events are read in order of ts, then sid, ip and kind, by one task. Groups are found
+    first, as components; a group itself can't be split.
     """
-    first = F.first("ip").over(Window.partitionBy("sid").orderBy("ts"))
-    rows = events.select("ip", "sid", "ts", "kind", "allowed").withColumn("owner", first)
+    rows = events.select("ip", "sid", "ts", "kind", "allowed")
+    asked = rows.where("NOT allowed AND kind = 'open'")
+    # a session belongs to the group of its least address; sessions with several addresses link these
+    own = asked.groupBy("sid").agg(F.min("ip").alias("first"), F.max("ip").alias("last"))
+    linked = asked.join(own.where("first != last").select("sid", "first"), "sid").select(F.col("ip").alias("a"), F.col("first").alias("b")).distinct()
+    groups = components(linked).withColumnRenamed("node", "first").withColumnRenamed("component", "linked")
+    by_sid = own.join(groups, "first", "left").select("sid", F.coalesce("linked", "first").alias("group"))
+    rows = rows.join(by_sid, "sid", "left").withColumn("group", F.coalesce("group", F.concat(F.lit("sid "), "sid"), F.lit("")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, set()
+        group, owner, held = None, {}, {}
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                if r.ip != last:
-                    last, held = r.ip, set()
-                if r.owner != r.ip:
-                    out.append("sid-collision")
-                elif r.kind == "close":
-                    held.discard(r.sid)
-                    out.append("closed")
+                if r.group != group:
+                    group, owner, held = r.group, {}, {}
+                verdict = "open"
+                if r.kind == "close":
+                    verdict = "closed"
+                    if r.sid in owner:
+                        held[owner.pop(r.sid)] -= 1
                 elif r.allowed:
-                    out.append("bypass")
-                elif r.sid in held:
-                    out.append("again")
-                elif len(held) >= per_ip:
-                    out.append("rate-limit")
+                    verdict = "bypass"
+                elif r.sid in owner:
+                    verdict = "again" if owner[r.sid] == r.ip else "sid-collision"
+                elif held.get(r.ip, 0) >= per_ip:
+                    verdict = "rate-limit"
                 else:
-                    held.add(r.sid)
-                    out.append("open")
+                    owner[r.sid], held[r.ip] = r.ip, held.get(r.ip, 0) + 1
+                out.append(verdict)
             yield batch[["ip", "sid", "ts", "kind"]].assign(verdict=out)
 
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("ip", "sid", "ts", "kind")) + ", verdict string"
-    return rows.repartition(n, "ip").sortWithinPartitions("ip", "ts", "sid").mapInPandas(run, schema)
+    return rows.repartition(n, "group").sortWithinPartitions("group", "ts", "sid", "ip", "kind").mapInPandas(run, schema)
 
 
 def capacity(sessions: DataFrame, most: int = GLOBAL) -> DataFrame:

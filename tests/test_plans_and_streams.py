@@ -1,8 +1,11 @@
+import collections
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.catalogue import QUERIES
 from quarry.operators.chunking import Sizes
 from quarry.plans import indexing, schedule
 from quarry.schemas import CHUNKS, INDEX_STATE, QUERY_LOG
@@ -104,6 +107,69 @@ def test_admission(spark):
     assert tuple(sessions.capacity(df, 10).first()) == (8, False, True)
 
 
+def brute_admission(events, per_ip):
+    """One limiter that sees all events in their order."""
+    owner, held, out = {}, {}, []
+    for ip, sid, ts, kind, allowed in sorted(events, key=lambda e: (e[2], e[1], e[0], e[3])):
+        if kind == "close":
+            verdict = "closed"
+            if sid in owner:
+                held[owner.pop(sid)].discard(sid)
+        elif allowed:
+            verdict = "bypass"
+        elif sid in owner:
+            verdict = "again" if owner[sid] == ip else "sid-collision"
+        elif len(held.setdefault(ip, set())) >= per_ip:
+            verdict = "rate-limit"
+        else:
+            owner[sid], verdict = ip, "open"
+            held[ip].add(sid)
+        out.append((ip, sid, ts, kind, verdict))
+    return sorted(out)
+
+
+def test_admission_with_collisions_closes_and_ties(spark):
+    rnd = random.Random(3)
+    events = []
+    for _ in range(3000):
+        # addresses are linked in chains of different lengths, and one session is opened from anywhere
+        ip = rnd.randrange(60)
+        sid = rnd.choice([f"s{ip}", f"s{ip}", f"s{ip + rnd.randrange(2)}", f"t{rnd.randrange(9)}-{ip % 3}", "u"]) if ip % 10 else f"own{ip}-{rnd.randrange(8)}"
+        events.append((f"10.0.0.{ip}", sid, at(rnd.randrange(600)), "close" if rnd.random() < 0.25 else "open", ip in (4, 20)))
+    df = spark.createDataFrame(events, "ip string, sid string, ts timestamp, kind string, allowed boolean")
+    got = sorted((r.ip, r.sid, r.ts, r.kind, r.verdict) for r in sessions.admitted(df, 2).collect())
+    assert got == brute_admission(events, 2)
+    assert {r[-1] for r in got} == {"open", "again", "bypass", "closed", "rate-limit", "sid-collision"}
+
+
+def test_admission_edges(spark):
+    schema = "ip string, sid string, ts timestamp, kind string, allowed boolean"
+    verdicts = lambda rows: [r.verdict for r in sessions.admitted(spark.createDataFrame([(i, s, at(t), k, a) for i, s, t, k, a in rows], schema), 1).orderBy("ts").collect()]
+    assert sessions.admitted(spark.createDataFrame([], schema)).count() == 0
+    # a close frees the session for another address; an allowed open owns nothing; a refused one neither
+    assert verdicts([("1", "a", 0, "open", False), ("2", "a", 1, "open", False), ("2", "a", 2, "close", False), ("2", "a", 3, "open", False)]) == ["open", "sid-collision", "closed", "open"]
+    assert verdicts([("9", "a", 0, "open", True), ("1", "a", 1, "open", False), ("9", "a", 2, "open", True)]) == ["bypass", "open", "bypass"]
+    assert verdicts([("1", "a", 0, "open", False), ("1", "b", 1, "open", False), ("2", "b", 2, "open", False)]) == ["open", "rate-limit", "open"]
+
+
+def test_session_admission_query(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_type").collect()
+    rows = []
+    for r in events:
+        address, sid = r.user_id // 4, (r.user_id + 1) // 8 * 8 if (r.user_id + 1) % 8 < 2 else r.user_id
+        ip = f"10.0.{address // 256 % 256}.{address % 256}"
+        rows.append((ip, str(sid), r.ts, "close" if r.event_type == "purchase" else "open", address < 2))
+    want = collections.Counter((ip, verdict) for ip, _, _, _, verdict in brute_admission(rows, 3))
+    got = {(r.ip, r.verdict): r.n for r in QUERIES["session_admission"](spark, sf).collect()}
+    assert got == want and "sid-collision" in {v for _, v in got}
+
+
+def test_startup_reads_sources_without_a_token_in_full(spark):
+    sources = spark.createDataFrame([("code", "null", False, "s"), ("code", "empty", True, "s"), ("code", "gone", False, "")], "source_type string, source_key string, local boolean, current_token string")
+    states = spark.createDataFrame([("code", "null", None, at(0), "idle", None), ("code", "empty", "", at(0), "idle", None), ("code", "gone", "s", at(0), "idle", None)], INDEX_STATE)
+    assert {r.source_key: r.action for r in schedule.startup_actions(sources, states, "2024-01-01 01:00:00").collect()} == {"null": "full", "empty": "full", "gone": "incremental"}
+
+
 def test_log_ingestion_and_telemetry(spark, tmp_path):
     source = f"{tmp_path}/log"
     spark.createDataFrame([("search-docs", "secret", 1, 0.5, 3, "docs", None, dt.datetime(2024, 1, 1))], QUERY_LOG).write.json(source)

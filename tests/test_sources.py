@@ -104,7 +104,12 @@ def test_forum_items(spark):
     threads = spark.createDataFrame([("t", "c", "How?")], "id string, channel string, name string")
     messages = spark.createDataFrame([("t", 1, "a", "how?"), ("t", 2, "b", "  "), ("t", 3, "c", "like this")], "thread string, position int, author string, text string")
     got = conversations.forum_items(threads, messages).first()
-    assert (got.id, got.content, json.loads(got.metadata)) == ("c:t", "Q: How?\n\nA: c: like this", {"confidence": 1.0})
+    assert (got.id, got.content, json.loads(got.metadata)) == ("c:t", "Q: How?\n\nA: c: like this", {"channel": "c", "confidence": 1.0, "forumThread": True})
+    said = {"whole": ["  ", "How?", "yes"], "begins": ["how do", "so "], "more": ["How do I? Because", "so"], "none": ["How do I?"]}
+    threads = spark.createDataFrame([(k, "c", "How do I?", f"http://{k}") for k in said], "id string, channel string, name string, url string")
+    messages = spark.createDataFrame([(k, i, "a", t) for k, v in said.items() for i, t in enumerate(v)], messages.schema)
+    got = {r.id[2:]: (r.content.partition("A: ")[2], r.source_url) for r in conversations.forum_items(threads, messages).collect()}
+    assert got == {"whole": ("a: How?\n\na: yes", "http://whole"), "begins": ("a: so ", "http://begins"), "more": ("a: How do I? Because\n\na: so", "http://more")}
     long = spark.range(1).select(conversations.shortened(F.lit("a" * 50 + "\n\n" + "b" * 50), 80)).first()[0]
     assert long == "a" * 50 + "\n\n[truncated]"
 
