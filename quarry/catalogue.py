@@ -463,7 +463,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     # four users share an address, and of eight users two share a session from different addresses
     sid = "CASE WHEN (user_id + 1) % 8 < 2 THEN (user_id + 1) DIV 8 * 8 ELSE user_id END"
     rows = table(spark, d, "events").selectExpr("concat('10.0.', user_id DIV 4 DIV 256 % 256, '.', user_id DIV 4 % 256) AS ip", f"CAST({sid} AS STRING) AS sid", "ts", "CASE event_type WHEN 'purchase' THEN 'close' ELSE 'open' END AS kind")
-    marked = ip.allowlisted(rows, ["10.0.0.0/31"])
+    marked = ip.allowlisted(rows, ["10.0.0.0/32"])
     return sessions.admitted(marked, per_ip=3).groupBy("ip", "verdict").agg(F.count("*").alias("n"))
 
 

@@ -158,7 +158,7 @@ def test_session_admission_query(spark, sf):
     for r in events:
         address, sid = r.user_id // 4, (r.user_id + 1) // 8 * 8 if (r.user_id + 1) % 8 < 2 else r.user_id
         ip = f"10.0.{address // 256 % 256}.{address % 256}"
-        rows.append((ip, str(sid), r.ts, "close" if r.event_type == "purchase" else "open", address < 2))
+        rows.append((ip, str(sid), r.ts, "close" if r.event_type == "purchase" else "open", address < 1))
     want = collections.Counter((ip, verdict) for ip, _, _, _, verdict in brute_admission(rows, 3))
     got = {(r.ip, r.verdict): r.n for r in QUERIES["session_admission"](spark, sf).collect()}
     assert got == want and "sid-collision" in {v for _, v in got}
