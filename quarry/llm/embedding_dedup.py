@@ -2,17 +2,17 @@
 
 A vector is rotated three times by random signs and a fast Hadamard transform; its hash is the coordinate of largest magnitude with
 its sign. A table hashes with ``hashes`` rotations and probes, for each, the ``probes`` best coordinates, so a vector lies in
-``probes ** hashes`` buckets of each of ``tables`` tables. Vectors that share a bucket and a label are candidates; each candidate
-pair is verified by its cosine in double precision, and counts in the first bucket only, in the order of tables and buckets,
-that both share, so links are counted once without listing pairs.
+``probes ** hashes`` buckets of each of ``tables`` tables. Vectors that share a bucket and a label are candidates.
 
-Equal vectors of a label are merged first and counted with their number, so copies need no pairs. A bucket yields
-for each vector its number of links and the edges of a spanning forest. Buckets of over ``block`` vectors are split into
-blocks, each pair of blocks being a bucket of its own, and tiles of a block are compared by matrix products.
+Equal vectors of a label are merged first and counted with their number. A bucket verifies its candidates by their cosines in double
+precision, and yields the edges of a spanning forest of the links, never all pairs. Linked vectors are in one component, so
+links are then counted within components, each pair once, which also finds links between vectors that share no bucket. Buckets and
+components of over ``block`` vectors are split into blocks, each pair of blocks being a group of its own, and compared by matrix products.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without label, link with nothing and are components
 of their own. Vectors of other lengths than a label's others never link with them. A null vec_id gets no component and is not kept;
-rows that repeat a vec_id are vectors of their own for n_links and one node for components. Extra columns are ignored.
+rows that repeat a vec_id are vectors of their own for n_links and one node for components. Of ties (equal vectors) the
+smallest vec_id stands for all. An empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import session_parallelism, starts_of, whole_groups, written
+from quarry.llm.common import MIX, session_parallelism, starts_of, whole_groups, written
 from quarry.llm.components import components
 
-TILE = 512
+#: Rows of a matrix product; groups of so few vectors are compared pair by pair; cosines so near the limit are computed again.
+TILE, FEW, CLOSE = 512, 8, 1e-9
 
 
 @lru_cache(maxsize=64)
@@ -81,126 +83,162 @@ def _by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.asarray(flat, dtype=float).reshape(-1, d)
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For pairs of rows of bucket numbers, the least number that both hold."""
-    best = np.full(len(a), np.iinfo(np.int64).max)
-    for j in range(a.shape[1] - 1, -1, -1):  # numbers rise along the row, so the last hit is the least
-        hit = (b == a[:, j : j + 1]).any(1)
-        best[hit] = a[hit, j]
-    return best
+def _units(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of equal length that hold a direction: their places and unit vectors."""
+    for at, x in _by_length(vectors):
+        top = np.abs(x).max(1)
+        good = np.isfinite(x).all(1) & (top > 0)
+        x = x[good] / top[good, None]
+        yield at[good], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(bucket: np.ndarray, x: np.ndarray, own: np.ndarray, block: np.ndarray, cross: bool, copies: np.ndarray, limit: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links by row in one bucket, counted where this is the pair's first, and edges of a spanning forest. In the bucket of
-    two blocks (cross), pairs within a block are left to the bucket of that block alone."""
-    n, links, edges = len(x), np.zeros(len(x), dtype=np.int64), []
-    root = np.arange(n)
+def _dots(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x[i], x[j])
+
+
+def _tiles(n: int) -> Iterator[tuple[slice, slice]]:
     for lo in range(0, n, TILE):
         for lo2 in range(lo, n, TILE):
-            cosine = x[lo : lo + TILE] @ x[lo2 : lo2 + TILE].T
-            i, j = np.nonzero(cosine >= limit - 1e-9)
-            i, j = i + lo, j + lo2
-            keep = i < j
-            if cross:
-                keep &= block[i] != block[j]
-            i, j = i[keep], j[keep]
+            yield slice(lo, lo + TILE), slice(lo2, lo2 + TILE)
+
+
+def _forest(x: np.ndarray, limit: float) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the links among unit rows."""
+    root, a, b = np.arange(len(x)), [], []
+    for rows, columns in _tiles(len(x)):
+        i, j = np.nonzero((x[rows] @ x[columns].T >= limit - CLOSE) & (root[rows, None] != root[None, columns]))
+        i, j = i + rows.start, j + columns.start
+        exact = (i < j) & (_dots(x, i, j) >= limit) if len(i) else i < j
+        i, j = i[exact], j[exact]
+        while len(i):  # union of the trees that these links join, a few edges at a time
+            u, v = root[i], root[j]
+            apart = u != v
+            i, j, u, v = i[apart], j[apart], u[apart], v[apart]
             if not len(i):
-                continue
-            exact = np.einsum("ij,ij->i", x[i], x[j]) >= limit
-            i, j = i[exact], j[exact]
-            first = _first_shared(own[i], own[j]) == bucket[i]
-            i, j = i[first], j[first]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            while len(i):  # union of the trees that these links join, a few edges at a time
-                a, b = root[i], root[j]
-                apart = a != b
-                i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-                if not len(i):
-                    break
-                hi, lo_ = np.maximum(a, b), np.minimum(a, b)
-                _, at = np.unique(hi, return_index=True)
-                edges += list(zip(i[at].tolist(), j[at].tolist(), strict=True))
-                root[hi[at]] = lo_[at]
-                while (root[root] != root).any():
-                    root = root[root]
-    return links, edges
-
-
-def near_duplicates(rows: DataFrame, limit: float = 0.98, tables: int = 4, hashes: int = 3, probes: int = 2, block: int = 512) -> DataFrame:
+                break
+            high, low = np.maximum(u, v), np.minimum(u, v)
+            _, at = np.unique(high, return_index=True)
+            a += i[at].tolist()
+            b += j[at].tolist()
+            root[high[at]] = low[at]
+            while (root[root] != root).any():
+                root = root[root]
+    return a, b
+
+
+def _counts(x: np.ndarray, copies: np.ndarray, block: np.ndarray, cross: bool, limit: float) -> np.ndarray:
+    """Of each unit row, the copies of the other rows that it links with; in a group of two blocks (cross), of those of the other block."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for rows, columns in _tiles(len(x)):
+        cosine = x[rows] @ x[columns].T
+        hit = cosine >= limit
+        near = np.nonzero(np.abs(cosine - limit) < CLOSE)
+        if len(near[0]):
+            hit[near] = _dots(x, near[0] + rows.start, near[1] + columns.start) >= limit
+        if cross:
+            hit &= block[rows, None] != block[None, columns]
+        if rows == columns:
+            np.fill_diagonal(hit, False)
+        else:
+            out[columns] += copies[rows] @ hit
+        out[rows] += hit @ copies[columns]
+    return out
+
+
+def _blocked(rows: DataFrame, place: str, size: str, block: int) -> DataFrame:
+    """rows (rep, place and the size of the place) with the columns block and cross; places of over block rows become one for each pair of their blocks."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int"))
+    split = dealt.where("blocks > 1").withColumn("block", F.pmod("rep", "blocks").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    split = split.withColumn(place, F.xxhash64(place, F.least("block", "other"), F.greatest("block", "other"))).withColumn("cross", F.col("block") != F.col("other"))
+    whole = dealt.where("blocks = 1").withColumn("block", F.lit(0)).withColumn("cross", F.lit(False))
+    return whole.select("rep", place, "block", "cross").unionByName(split.select("rep", place, "block", "cross"))
+
+
+def near_duplicates(rows: DataFrame, limit: float = 0.98, tables: int = 4, hashes: int = 3, probes: int = 2, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
-    spark = rows.sparkSession
-    n = session_parallelism(spark)
+    n = session_parallelism(rows.sparkSession)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """rep: a hash of label and direction; null for vectors that link with nothing."""
         for batch in batches:
-            labelled = batch.column("label").is_valid().to_numpy(zero_copy_only=False)
-            rows, vectors, numbers = [], [], []
-            for at, x in _by_length(batch.column("embedding")):
-                top = np.abs(x).max(1)
-                good = np.isfinite(x).all(1) & (top > 0) & labelled[at]
-                x = x[good] / top[good, None]
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                rows.append(at[good])
-                vectors += list(x)
-                numbers += list(np.sort(buckets(x, tables, hashes, probes), 1))
-            place = dict(zip(np.concatenate(rows).tolist() if rows else [], range(len(vectors)), strict=True))
-            take = lambda of: [of[place[i]] if i in place else None for i in range(batch.num_rows)]  # noqa: B023, E731
-            columns = pa.array(take(vectors), pa.list_(pa.float64())), pa.array(take(numbers), pa.list_(pa.int64()))
-            raw = pa.array([None if v is None else v.tobytes() for v in take(vectors)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), *columns, raw], ["vec_id", "label", "vector", "numbers", "hash"])
-
-    kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
-    own = kept.mapInArrow(clean, "vec_id long, label string, vector array<double>, numbers array<long>, hash binary").withColumn("hash", F.sha2("hash", 256))
-    own = written(own.withColumn("ok", F.col("vector").isNotNull()), "vectors")
+            labels, reps = batch.column("label").to_pylist(), [None] * batch.num_rows
+            for at, x in _units(batch.column("embedding")):
+                for i, v in zip(at.tolist(), x + 0.0, strict=True):
+                    if labels[i] is not None:
+                        reps[i] = xxhash.xxh3_64_intdigest(v.tobytes() + labels[i].encode()) - (1 << 63)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), batch.column("embedding"), pa.array(reps, pa.int64())], ["vec_id", "label", "embedding", "rep"])
+
+    kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = rows.schema["embedding"].dataType.simpleString()
+    own = written(kept.mapInArrow(told, "vec_id long, label string, embedding array<double>, rep long").withColumn("embedding", F.when(F.col("rep").isNotNull(), F.col("embedding").cast(kind))), "vectors")
     # one row for each different vector of a label
-    texts = own.where("ok").groupBy("label", "hash").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("numbers").alias("numbers"))
-    texts = written(texts.withColumn("rep", F.xxhash64("label", "hash")), "distinct-vectors")
-    places = texts.select("rep", F.explode("numbers").alias("bucket"), "label", F.size("vector").alias("d")).select("rep", "bucket", F.xxhash64("bucket", "label", "d").alias("place"))
+    texts = own.where("rep IS NOT NULL").groupBy("rep").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    texts = written(texts, "distinct-vectors")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, label = (batch.column(c).to_numpy() for c in ("rep", "label"))
+            reps, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, x in _units(batch.column("embedding")):
+                numbers = buckets(x, tables, hashes, probes)
+                reps.append(np.repeat(rep[at], numbers.shape[1]))
+                places.append(((numbers ^ (label[at, None] * 31 + x.shape[1])).view(np.uint64) * MIX[0]).view(np.int64).reshape(-1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(places))], ["rep", "place"])
+
+    places = texts.select("rep", F.xxhash64("label").alias("label"), "embedding").mapInArrow(deal, "rep long, place long")
     full = written(places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1"), "places")
-    shared = places.join(full, "place").select("rep", "bucket", "place", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.lit(0).alias("block"), F.lit(False).alias("cross"))
-    mine = F.pmod("rep", "blocks").cast("int")
-    split = shared.where("blocks > 1").withColumn("block", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    split = split.withColumn("place", F.xxhash64("place", F.least("block", "other"), F.greatest("block", "other"))).withColumn("cross", F.col("block") != F.col("other"))
-    columns = ["rep", "bucket", "place", "block", "cross"]
-    shared = shared.where("blocks = 1").select(*columns).unionByName(split.select(*columns)).join(texts.select("rep", "copies", "vector", "numbers"), "rep")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "place"):
-            place, rep, bucket, copies, blocks = (table[c].to_numpy() for c in ("place", "rep", "bucket", "copies", "block"))
-            cross = table["cross"].to_numpy()
-            vectors, numbers = table["vector"].combine_chunks(), table["numbers"].combine_chunks()
-            out_rep, out_links, out_a, out_b = [], [], [], []
-            for lo, hi in zip(starts_of(place), starts_of(place)[1:]):
-                order = lo + np.argsort(blocks[lo:hi], kind="stable")
-                take = lambda lists: lists.take(pa.array(order)).flatten().to_numpy().reshape(hi - lo, -1)  # noqa: B023, E731
-                links, edges = _compare(bucket[order], take(vectors), take(numbers), blocks[order], bool(cross[lo]), copies[order], limit)
-                hit = np.flatnonzero(links)
-                out_rep.append(rep[order][hit])
-                out_links.append(links[hit])
-                for a, b in edges:
-                    out_a.append(rep[order[a]])
-                    out_b.append(rep[order[b]])
-            found = np.concatenate(out_rep) if out_rep else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((found, np.array(out_a, np.int64)))),
-                    pa.array(np.concatenate((np.concatenate(out_links) if out_links else np.zeros(0, np.int64), np.zeros(len(out_a), np.int64)))),
-                    pa.array(np.concatenate((found, np.array(out_b, np.int64)))),
-                ],
-                ["rep", "links", "other"],
-            )
-
-    found = written(shared.repartition(n, "place").sortWithinPartitions("place").mapInArrow(compare, "rep long, links long, other long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    ids = texts.select("rep", "first").where("first is not null")
-    edges = found.where("rep != other").select("rep", "other").distinct()
-    edges = edges.join(ids.select("rep", F.col("first").alias("a")), "rep").join(ids.select(F.col("rep").alias("other"), F.col("first").alias("b")), "other").select("a", "b")
-    repeated = own.where("vec_id is not null and ok").groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
-    same = own.where("ok").join(repeated, "vec_id").join(texts.select("label", "hash", "first"), ["label", "hash"]).select(F.col("vec_id").alias("a"), F.col("first").alias("b"))
-    parts = components(edges.unionByName(same))
-    by_text = texts.join(links, "rep", "left").join(parts.withColumnRenamed("node", "first"), "first", "left")
-    by_text = by_text.select("label", "hash", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component"))
-    got = own.drop("vector").join(by_text, ["label", "hash"], "left")
+    vectors = texts.select("rep", "copies", "embedding")
+
+    def groups(batches: Iterator[pa.RecordBatch], place: str) -> Iterator[tuple]:
+        """Unit vectors of whole groups, with the starts of the groups and their rows in order."""
+        for table in whole_groups(batches, place):
+            vectors = table["embedding"].combine_chunks()
+            columns = {c: table[c].to_numpy() for c in ("rep", place, "copies", "block", "cross") if c in table.column_names}
+            for at, x in _units(vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors):
+                yield x, {c: v[at] for c, v in columns.items()}
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, own in groups(batches, "place"):
+            rep, place = own["rep"], own["place"]
+            starts = starts_of(place)
+            sizes = np.diff(starts)
+            few = np.repeat(sizes <= FEW, sizes)
+            a, b = [], []
+            for d in range(1, FEW):
+                i = np.flatnonzero((place[d:] == place[:-d]) & few[d:])
+                if not len(i):
+                    break
+                i = i[_dots(x, i, i + d) >= limit]
+                a.append(i)
+                b.append(i + d)
+            for k in np.flatnonzero(sizes > FEW):
+                i, j = _forest(x[starts[k] : starts[k + 1]], limit)
+                a.append(np.array(i, np.int64) + starts[k])
+                b.append(np.array(j, np.int64) + starts[k])
+            a, b = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], ["a", "b"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, own in groups(batches, "group"):
+            starts, links = starts_of(own["group"]), np.zeros(len(x), dtype=np.int64)
+            for lo, hi in zip(starts, starts[1:]):
+                links[lo:hi] = _counts(x[lo:hi], own["copies"][lo:hi], own["block"][lo:hi], bool(own["cross"][lo]), limit)
+            yield pa.RecordBatch.from_arrays([pa.array(own["rep"]), pa.array(links)], ["rep", "links"])
+
+    shared = _blocked(places.join(full, "place"), "place", "n", block).select("rep", "place").join(vectors, "rep")
+    linked = written(shared.repartition(n, "place").sortWithinPartitions("place").mapInArrow(link, "a long, b long").distinct(), "links")
+    # rows that repeat a vec_id are one node
+    repeated = own.where("vec_id IS NOT NULL AND rep IS NOT NULL").groupBy("vec_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b != last").select("vec_id", "b")
+    same = own.where("rep IS NOT NULL").join(repeated, "vec_id").select(F.col("rep").alias("a"), "b")
+    parts = components(linked.unionByName(same)).withColumnRenamed("node", "rep")
+    # a component may span labels through repeated vec_ids
+    members = parts.join(texts.select("rep", "label"), "rep").select("rep", F.xxhash64("component", "label").alias("group"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    counted = _blocked(members.join(sizes, "group"), "group", "n", block).join(vectors, "rep").repartition(n, "group").sortWithinPartitions("group").mapInArrow(count, "rep long, links long")
+    links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
+    least = texts.select("rep", "first").join(parts, "rep").groupBy("component").agg(F.min("first").alias("least"))
+    by_text = texts.select("rep", "first", "copies").join(parts.join(least, "component").select("rep", "least"), "rep", "left").join(links, "rep", "left")
+    by_text = by_text.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("component"))
+    got = own.select("vec_id", "rep").join(by_text, "rep", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return got.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

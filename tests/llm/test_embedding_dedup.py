@@ -68,6 +68,22 @@ def test_null_ids_and_empty_table(spark, rows):
     assert got(spark, []) == []
 
 
+def test_repeated_ids_join_components_of_labels_but_no_links(spark, rows):
+    v, w = rows[0][1], [x + 1e-3 for x in rows[0][1]]
+    mixed = [(1, v, 0, ""), (2, w, 0, ""), (2, v, 1, ""), (3, w, 1, ""), (4, v, 2, ""), (1, v[:32], 0, ""), (6, v[:32], 0, "")]
+    assert got(spark, mixed) == brute(mixed)
+    assert got(spark, mixed + mixed) == brute(mixed + mixed)
+
+
+def test_one_large_cluster_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=64)
+    cluster = [(i, (base + rng.normal(size=64) * 0.13).tolist(), 0, "") for i in range(700)]
+    want = brute(cluster)
+    assert 10 < np.mean([r[1] for r in want]) < 650
+    assert got(spark, cluster, block=100) == want and got(spark, cluster) == want
+
+
 def test_rotation_keeps_lengths_and_angles():
     x = np.random.default_rng(1).normal(size=(9, 32))
     y = ed.rotated(x, ed._signs(32, 2, 3)[1])
