@@ -56,12 +56,13 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
-def hash_sample(rows: DataFrame, n: int, total: int) -> DataFrame:
-    """The n rows with the smallest hash of doc_id, of so many with different doc_ids in all (n less a few, once in millions of times).
-    Only rows below a bound on the hash, about n of them, are sorted, however many tasks read the table."""
+def hash_sample(rows: DataFrame, n: int, total: int, *by: str) -> DataFrame:
+    """The n different rows with the smallest hash of the columns by (doc_id), of total rows. Only rows below a bound on
+    the hash, about n of total, are sorted, however many tasks read the table; where rows repeat, fewer than n may lie below it."""
     share = min(1.0, (n + 6 * n**0.5 + 16) / max(1, total))
     bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-    return rows.where(F.xxhash64("doc_id") <= bound).orderBy(F.xxhash64("doc_id"), *rows.columns).limit(n)
+    key = F.xxhash64(*(by or ("doc_id",)))
+    return rows.where(key <= bound).distinct().orderBy(key, *rows.columns).limit(n)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from quarry.llm.common import MIX, as_bytes
+from quarry.llm.common import MIX, as_bytes, fresh
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -61,6 +63,19 @@ def with_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
+def counted(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with the COUNTS of each row as longs in columns of fresh names, and these names."""
+    names = [fresh(c, docs.columns) for c in COUNTS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.array([count_of(x) for x in as_bytes(batch.column("text"))], dtype=np.int64).reshape(batch.num_rows, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(c)) for c in counts.T)], [*batch.schema.names, *names])
+
+    schema = reduce(lambda s, n: s.add(n, "long"), names, T.StructType([*docs.schema.fields]))
+    return docs.mapInArrow(run, schema), names
+
+
 #: Names of the columns of measures().
 MEASURES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "exclaims", "stops", "bytes_per_char", "distinct", "top_word", "adjacent", "words_per_line", "longest")
 

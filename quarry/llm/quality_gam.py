@@ -4,9 +4,10 @@ Each tree sees one measure (or one pair of measures), cut into at most ``bins``
 values to that measure's lookup table. A score is the sum of one table entry for each measure and each chosen pair.
 
 Fitting sees at most ``fit_rows`` labelled rows (those with the smallest hash of doc_id) on the driver; everything
-else runs on executors over all rows. Null and empty texts have all measures at zero and are scored like any text.
-Null labels and labels without a document are ignored; repeated labels count as often as they occur. With no labels,
-or one class only, the score is the smoothed share of label 1. Extra columns of the input are ignored.
+else runs on executors over all rows. Null and empty texts have all measures at zero and are scored like any text; very
+long texts are measured whole. Null labels and labels without a document are ignored; rows that repeat a doc_id, its
+measures and its label count once in fitting, and equal rows get equal scores. With no labels, or one class only, the
+score is the smoothed share of label 1. An empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import hash_sample, written
 from quarry.llm.features import COUNTS, measures, with_counts
 
 
@@ -129,8 +130,9 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 60, pairs: i
 
 def sample_of(counts: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Measures and labels of at most so many labelled rows; labels holds doc_id and the label only."""
-    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    got = counts.join(own, "doc_id").orderBy(F.xxhash64("doc_id"), *COUNTS, "label").limit(rows).select(*COUNTS, "label").toArrow()
+    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    joined = written(counts.join(own, "doc_id").select("doc_id", *COUNTS, "label"), "labelled-counts")
+    got = hash_sample(joined, rows, joined.count(), "doc_id").select(*COUNTS, "label").toArrow()
     return measures(np.column_stack([got[c].to_numpy() for c in COUNTS]).reshape(-1, len(COUNTS))), got["label"].to_numpy().astype(int)
 
 
