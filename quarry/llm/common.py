@@ -1,11 +1,8 @@
-"""What the training-data operators share: scratch tables, grouped Arrow streams, word hashes."""
+"""What the training-data operators share: samples, grouped Arrow streams, word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import scratch_path, written
+
+__all__ = ["MIX", "as_bytes", "fresh", "hash_sample", "row_key", "scratch_path", "session_parallelism", "slices", "starts_of", "table", "whole_groups", "written"]
+
 #: Odd multipliers for linear hashes modulo 2**64.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -21,28 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="quarry-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/quarry/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key() -> "F.Column":
     """Tells rows apart where doc_id is null or repeats; equal rows get equal keys."""
     return F.xxhash64("doc_id", "text")

@@ -40,19 +40,34 @@ def _signs(size: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng([size, count, seed]).choice([-1.0, 1.0], (count, 3, size))
 
 
+@lru_cache(maxsize=16)
+def _hadamard(size: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < size:
+        h = np.block([[h, h], [h, -h]])
+    return h / np.sqrt(size)
+
+
 def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Rows of x, whose length is a power of two, after three rounds of signs and Hadamard transform."""
+    """Rows of x, whose length is a power of two, after three rounds of signs and fast Hadamard transform: along both axes of a near-square
+    arrangement of the coordinates, which stays turned over."""
     n, d = x.shape
+    high = 1 << (d.bit_length() - 1) // 2
     for s in signs:
-        x, h = x * s, 1
-        while h < d:
-            x = x.reshape(n, d // (2 * h), 2, h)
-            x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), 2).reshape(n, d)
-            h *= 2
-        x = x / np.sqrt(d)
+        half = (x * s).reshape(-1, d // high) @ _hadamard(d // high)
+        x = (half.reshape(n, high, d // high).transpose(0, 2, 1).reshape(-1, high) @ _hadamard(high)).reshape(n, d)
     return x
 
 
+def _largest(y: np.ndarray, k: int) -> np.ndarray:
+    """Of each row, the places of its k largest magnitudes, in falling order."""
+    size, rows, out = np.abs(y), np.arange(len(y)), []
+    for _ in range(k):
+        out.append(size.argmax(1))
+        size[rows, out[-1]] = -1
+    return np.stack(out, 1)
+
+
 def buckets(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 11) -> np.ndarray:
     """Bucket numbers of unit rows, tables * probes ** hashes for each; equal numbers only within a table."""
     d = 1 << max(1, (x.shape[1] - 1).bit_length())
@@ -63,7 +78,7 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 11
         best = []
         for h in range(hashes):
             y = rotated(x, signs[t * hashes + h])
-            top = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :probes]
+            top = _largest(y, probes)
             best.append(2 * top + (np.take_along_axis(y, top, 1) > 0))
         for choice in product(range(probes), repeat=hashes):
             number = np.full(len(x), t, dtype=np.int64)

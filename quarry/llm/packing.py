@@ -1,12 +1,14 @@
 """Packing along a space-filling curve.
 
 Each document's ids are hashed into a vector whose random signed projection has ``DIMENSIONS`` coordinates; its
-direction is quantised and mapped to a Hilbert key. Documents are sorted into ranges of keys, and each range is one
+direction is quantised and mapped to a Hilbert key. Documents, in parts of at most ``PART`` ids so that no row is much
+larger than others, are sorted into ranges of keys, and each range is one
 stream of ids, cut every ``size`` ids: neighbours along the curve share sequences, every sequence but the last of a
 range is full, and no id is lost or doubled.
 
-Null texts count as empty; an empty text still has its end id, so every row yields at least one piece. Ties of the key
-go by doc_id, then by the text's hash; equal rows are packed one after the other. Extra columns are ignored.
+Null texts count as empty; an empty text still has its end id, so every row yields at least one piece. Very long texts are encoded
+whole, then dealt in parts. Ties of the key go by doc_id, then by the text's hash, then by the part; equal rows are packed one after the other.
+An empty table gives no rows. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import MIX, session_parallelism, written
 
-DIMENSIONS, BITS = 4, 8
+DIMENSIONS, BITS, PART = 4, 8, 4096
 #: How byte-level BPE splits texts (fixed by its vocabularies).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -119,7 +121,8 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id, the Hilbert key, a hash of the text and the ids (little-endian, two bytes each where they fit) with the end id."""
+    """Rows of at most PART ids of a document with its end id: doc_id, the Hilbert key, a hash of the text, where the part starts, the document's
+    number of ids, and the part's (little-endian, two bytes each where they fit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
@@ -129,36 +132,46 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
             vectors = np.array([weights[np.frombuffer(x, words.kind)].sum(0) for x in ids]).reshape(-1, DIMENSIONS)
             unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
             key = hilbert(np.clip((unit + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key), batch.column("hash"), pa.array(ids, pa.binary())], ["doc_id", "key", "hash", "ids"])
+            step = words.kind.itemsize * PART
+            counts = np.array([-(-len(x) // step) for x in ids], np.int64)
+            row = np.repeat(np.arange(len(ids)), counts)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            parts = pa.array([ids[i][p * step : (p + 1) * step] for i, p in zip(row.tolist(), part.tolist())], pa.binary())
+            whole = np.array([len(x) // words.kind.itemsize for x in ids], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(key[row]), batch.column("hash").take(pa.array(row)), pa.array(part * PART), pa.array(whole[row]), parts], ["doc_id", "key", "hash", "first", "whole", "ids"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, key long, hash long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, key long, hash long, first long, whole long, ids binary")
 
 
-def packed(docs: DataFrame, path: str, end: int = 1, size: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (array of int)."""
+def packed(docs: DataFrame, path: str, end: int = 1, size: int = 2048, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids is set, ids (array of int)."""
     n = session_parallelism(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, at, base = encoder(path).kind, 0, TaskContext.get().partitionId() << 33
         for batch in batches:
             out, pieces = [], []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for doc, first, whole, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "whole", "ids")), strict=True):
                 ids = np.frombuffer(raw, kind).astype("<u4")
-                whole, start = len(ids), 0
-                while start < whole:
-                    take = min(whole - start, size - at % size)
+                start = 0
+                while start < len(ids):
+                    take = min(len(ids) - start, size - at % size)
                     piece = ids[start : start + take]
-                    out.append((doc, start, take, zlib.crc32(piece), whole, base + at // size, at % size))
+                    out.append((doc, first + start, take, zlib.crc32(piece), whole, base + at // size, at % size))
                     pieces.append(piece)
                     start += take
                     at += take
             columns = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 7)]
-            flat = np.concatenate(pieces) if pieces else np.zeros(0, "<u4")
-            ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-
-    ranged = written(encoded(docs, path, end), "encoded").repartitionByRange(n, "key", "doc_id", "hash").sortWithinPartitions("key", "doc_id", "hash")
-    return ranged.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+            if with_ids:
+                flat = np.concatenate(pieces) if pieces else np.zeros(0, "<u4")
+                ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    order = ["key", "doc_id", "hash", "first"]
+    ranged = written(encoded(docs, path, end), "encoded").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return ranged.select("doc_id", "first", "whole", "ids").mapInArrow(run, ", ".join(f"{c} {'array<int>' if c == 'ids' else 'long'}" for c in names))
 
 
 def padding(pieces: DataFrame, size: int = 2048) -> DataFrame:

@@ -55,7 +55,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file()).drop("ids")
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

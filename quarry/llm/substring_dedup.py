@@ -5,42 +5,50 @@ A window is ``window`` consecutive words. Each window is filed under its anchor:
 with one anchor share a row (anchor, document, first window, number of windows).
 
 The index is a list of immutable runs, tables bucketed and sorted by slot, which is the anchor itself for all but crowded anchors. append() writes a batch
-of documents as a new run and merge-joins it with the older ones, bucket by bucket without a shuffle, which tells the
-anchors that are there more than once. compact() merges the runs into one once there are ``fan_in``. Verification
-then digests the windows of repeated anchors from the texts and compares these digests within each anchor (128 bits
+of documents as a new run of level 0 and merge-joins it with the older ones, bucket by bucket without a shuffle, which tells the
+anchors that are there more than once. Once a level has ``fan_in`` runs, compact() merges these into one of the next level, so a row is
+rewritten as often as there are levels, a logarithm of the number of batches. Runs are tables in the shared folder; save() writes
+the list of runs there, and FingerprintIndex.open() goes on from it, in another session too. Verification
+digests the windows of repeated anchors from the texts and compares these digests within each anchor (128 bits
 in all), so an anchor shared by different windows removes nothing.
 
 Crowded anchors never meet in one task. An anchor that a batch of Arrow rows holds ``hot`` times or more is repeated
-as it stands, so these rows take a slot of their own in the run instead of the anchor's, and skip the merge-join. In
+as it stands, so these rows take slots of their own in the run instead of the anchor's, and skip the merge-join. In
 verification, anchors with over ``crowd`` rows are salted: parts are compared on their own, then the distinct windows
-of the parts with each other.
+of the parts with each other. Slots and parts differ between the copies of one row, too.
 
-Null and empty texts have no words; texts of fewer than ``window`` words lose nothing. A window that starts twice in
-one document counts as repeated, as do the windows of a repeated row. Rows are told apart by a hash of doc_id and text, so
-null and repeated doc_ids are fine. All columns of the input are kept.
+Null and empty texts have no words; texts of fewer than ``window`` words lose nothing; very long texts are read whole, in strides. A window that starts twice in
+one document counts as repeated, as do the windows of a repeated row, and of equal windows none is kept before another. Rows are told apart by a hash of doc_id and text, so
+null and repeated doc_ids are fine. An empty table gives no rows. All columns of the input are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MIX, as_bytes, fresh, row_key, session_parallelism, whole_groups, written
+from quarry.llm.common import MIX, as_bytes, fresh, row_key, scratch_path, session_parallelism, whole_groups, written
 
 #: Words that one step of the rolling hashes covers.
 STRIDE = 1 << 16
 _BASE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _BASE], dtype=np.uint64)
-_LONGEST = STRIDE + 256
-_POWERS = np.stack([np.concatenate(([np.uint64(1)], np.cumprod(np.full(_LONGEST, b, dtype=np.uint64)))) for b in _BASE])
-_BACK = np.stack([np.concatenate(([np.uint64(1)], np.cumprod(np.full(_LONGEST, b, dtype=np.uint64)))) for b in _INVERSE])
+RUN = "slot long, anchor long, key long, first int, n int"
+
+
+@lru_cache(maxsize=4)
+def _powers(longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the bases and of their inverses, from 0 on."""
+    return tuple(np.stack([np.concatenate(([np.uint64(1)], np.cumprod(np.full(longest, b, dtype=np.uint64)))) for b in base]) for base in (_BASE, _INVERSE))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -48,10 +56,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def rolling(hashes: np.ndarray, k: int, which: int) -> np.ndarray:
-    """Hashes of all runs of k items, of at most STRIDE + 256 items."""
+    """Hashes of all runs of k items."""
     n = len(hashes)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _POWERS[which, :n])))
-    out = (sums[k:] - sums[:-k]) * _BACK[which, : n - k + 1]
+    powers, back = _powers(STRIDE + 256 if n <= STRIDE + 256 else 1 << n.bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers[which, :n])))
+    out = (sums[k:] - sums[:-k]) * back[which, : n - k + 1]
     out ^= out >> np.uint64(32)
     out *= MIX[0]
     return out ^ (out >> np.uint64(29))
@@ -76,66 +85,102 @@ def window_digests(hashes: np.ndarray, window: int) -> np.ndarray:
 class FingerprintIndex:
     """Runs of window fingerprints. Documents need the columns doc_id and text."""
 
-    def __init__(self, spark: SparkSession, window: int = 35, gram: int = 8, fan_in: int = 2, crowd: int = 2048, hot: int = 64):
+    def __init__(self, spark: SparkSession, window: int = 35, gram: int = 8, fan_in: int = 2, crowd: int = 512, hot: int = 64):
         self.spark, self.window, self.gram, self.fan_in, self.crowd, self.hot = spark, window, gram, fan_in, crowd, hot
         self.buckets = session_parallelism(spark)
-        self.runs: list[str] = []
+        #: Name, folder and level of each run; rows of runs that were written, merged ones counted again.
+        self.runs: list[tuple[str, str, int]] = []
+        self.rows_written = 0
         self._repeated: list[DataFrame] = []
 
-    def _store(self, rows: DataFrame) -> str:
-        name = f"quarry_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "slot").write.bucketBy(self.buckets, "slot").sortBy("slot").format("parquet").saveAsTable(name)
+    def _store(self, rows: DataFrame, level: int) -> str:
+        name, folder = f"quarry_run_{uuid.uuid4().hex}", scratch_path(self.spark, "run")
+        rows.repartition(self.buckets, "slot").write.bucketBy(self.buckets, "slot").sortBy("slot").format("parquet").option("path", folder).saveAsTable(name)
+        self.runs.append((name, folder, level))
+        self.rows_written += self.spark.table(name).count()
         return name
 
-    def _rows(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, map(self.spark.table, self.runs))
+    def _rows(self, runs: list[tuple[str, str, int]] | None = None) -> DataFrame:
+        return reduce(DataFrame.unionByName, (self.spark.table(name) for name, _, _ in runs or self.runs))
 
     def append(self, docs: DataFrame) -> None:
         """Add a batch and note which anchors it repeats, of its own or of earlier batches."""
         window, gram, hot = self.window, self.gram, self.hot
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = (TaskContext.get().partitionId() + 1) << 40
             for batch in batches:
                 keys, out = batch.column("key").to_numpy(), []
-                for key, text in zip(keys, as_bytes(batch.column("text")), strict=True):
+                for i, (key, text) in enumerate(zip(keys, as_bytes(batch.column("text")), strict=True)):
                     words = text.split()
                     if len(words) >= window:
                         a, first, n = anchors(word_hashes(words), window, gram)
-                        out.append((a, np.full(len(a), key), first, n))
-                a, key, first, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+                        out.append((a, np.full(len(a), key), first, n, np.full(len(a), task + i)))
+                a, key, first, n, place = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 5
                 a = a.view(np.int64)
                 _, which, times = np.unique(a, return_inverse=True, return_counts=True)
-                slot = np.where(times[which] >= hot, ((a ^ key).view(np.uint64) * MIX[1]).view(np.int64), a)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(a), pa.array(key), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int8))], ["slot", "anchor", "key", "first", "n"])
+                salted = (a ^ key).view(np.uint64) * MIX[1] + place.astype(np.uint64) * MIX[2]
+                slot = np.where(times[which] >= hot, (salted ^ (salted >> np.uint64(29))).view(np.int64), a)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(a), pa.array(key), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["slot", "anchor", "key", "first", "n"])
 
-        new = self._store(docs.select(row_key().alias("key"), "text").mapInArrow(run, "slot long, anchor long, key long, first int, n byte"))
-        rows = self.spark.table(new)
+        before = list(self.runs)
+        rows = self.spark.table(self._store(docs.select(row_key().alias("key"), "text").mapInArrow(run, RUN), 0))
         found = rows.where("slot = anchor").groupBy("slot").agg(F.count("*").alias("rows"))
-        if self.runs:
-            old = self._rows().where("slot = anchor").groupBy("slot").agg(F.count("*").alias("old"))
+        if before:
+            old = self._rows(before).where("slot = anchor").groupBy("slot").agg(F.count("*").alias("old"))
             found = found.join(old, "slot", "left").select("slot", (F.col("rows") + F.coalesce("old", F.lit(0))).alias("rows"))
         crowded = rows.where("slot != anchor").groupBy("anchor").agg(F.count("*").alias("rows"))
         found = found.where("rows > 1").select(F.col("slot").alias("anchor"), "rows", F.lit(False).alias("crowded"))
         self._repeated.append(written(found.unionByName(crowded.withColumn("crowded", F.lit(True))), "repeated"))
-        self.runs.append(new)
-        if len(self.runs) >= self.fan_in:
-            self.compact()
+        self.compact()
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        merged = self._store(self._rows())
-        self.drop()
-        self.runs = [merged]
+        """Merge the runs of each level that has fan_in of them into one of the next level."""
+        level = 0
+        while level <= max((x[2] for x in self.runs), default=-1):
+            full = [x for x in self.runs if x[2] == level]
+            if len(full) >= self.fan_in:
+                self._store(self._rows(full), level + 1)
+                self._remove(full)
+            level += 1
+
+    def _remove(self, runs: list[tuple[str, str, int]]) -> None:
+        for name, folder, _ in runs:
+            self.spark.sql(f"DROP TABLE {name}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.runs = [x for x in self.runs if x not in runs]
 
     def drop(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-        self.runs = []
+        self._remove(list(self.runs))
+
+    def save(self) -> str:
+        """Write what the index consists of; returns the folder for open()."""
+        folder = scratch_path(self.spark, "index")
+        options = dict(window=self.window, gram=self.gram, fan_in=self.fan_in, crowd=self.crowd, hot=self.hot)
+        told = {"options": options, "buckets": self.buckets, "runs": self.runs, "repeated": None}
+        if self._repeated:
+            told["repeated"] = scratch_path(self.spark, "repeated")
+            reduce(DataFrame.unionByName, self._repeated).write.parquet(told["repeated"])
+        self.spark.createDataFrame([(json.dumps(told),)], "manifest string").coalesce(1).write.parquet(folder)
+        return folder
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        told = json.loads(spark.read.parquet(folder).first().manifest)
+        index = cls(spark, **told["options"])
+        index.buckets, index.runs = told["buckets"], [tuple(x) for x in told["runs"]]
+        for name, path, _ in index.runs:
+            columns = RUN.replace(" long", " BIGINT").replace(" int", " INT")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (slot) SORTED BY (slot) INTO {index.buckets} BUCKETS LOCATION '{path}'")
+        if told["repeated"]:
+            index._repeated = [spark.read.schema("anchor long, rows long, crowded boolean").parquet(told["repeated"])]
+        return index
 
     def repeated_rows(self) -> DataFrame:
         """The rows of repeated anchors, with the number of parts that an anchor's rows are dealt into."""
         if not self._repeated:
-            return self.spark.createDataFrame([], "anchor long, key long, first int, n byte, parts int")
+            return self.spark.createDataFrame([], "anchor long, key long, first int, n int, parts int")
         # an anchor may be noted with each batch, so its sum may be more than its rows
         hot = F.sum(F.when(F.col("crowded"), F.col("rows")).otherwise(0))
         totals = reduce(DataFrame.unionByName, self._repeated).groupBy("anchor").agg(F.ceil(F.sum("rows") / self.crowd).cast("int").alias("parts"), hot.alias("hot"))
@@ -157,11 +202,12 @@ def _verified(index: FingerprintIndex, docs: DataFrame) -> DataFrame:
     window, n = index.window, session_parallelism(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[tuple] = []
-            for key, text, rows in zip(batch.column("key").to_pylist(), as_bytes(batch.column("text")), batch.column("rows").to_pylist(), strict=True):
+            for place, (key, text, rows) in enumerate(zip(batch.column("key").to_pylist(), as_bytes(batch.column("text")), batch.column("rows").to_pylist(), strict=True)):
                 whole = window_digests(word_hashes(text.split()), window)
-                out += [(r["anchor"], (key ^ r["first"]) % r["parts"], r["parts"], key, r["first"], whole[r["first"] : r["first"] + r["n"]].tobytes()) for r in rows]
+                out += [(r["anchor"], ((key ^ r["first"]) + task + place) % r["parts"], r["parts"], key, r["first"], whole[r["first"] : r["first"] + r["n"]].tobytes()) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["anchor", "part", "parts", "key", "first", "digests"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import session_parallelism, written
 
 #: Bytes of a payload in one row; bytes of an archive in one segment.
 CHUNK, SEGMENT = 1 << 18, 1 << 23
@@ -53,10 +53,11 @@ def chunks(pages: DataFrame, least: int = 0, size: int = CHUNK) -> DataFrame:
     """The chunked record table of pages (page_id, url, html), with the response that each record revisits."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("bytes", F.length("payload").cast("long"))
-    first = rows.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    lone = rows.where(F.col("page_id").isNull()).select("digest").distinct()
-    first = first.unionByName(rows.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).join(lone, "digest").groupBy("digest").agg(F.min("page_id").alias("first"))).distinct()
-    marked = rows.join(first, "digest", "left").withColumn("refers_to", F.when((F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    # of each digest the records of each page, so that no payload goes where its digest goes
+    pages_of = rows.where(F.col("bytes") >= least).groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    first = pages_of.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1 AND first IS NOT NULL").select("digest", "first")
+    revisits = pages_of.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("digest").alias("of"), F.col("page_id").alias("page"), F.col("first").alias("refers_to"))
+    marked = rows.join(revisits, (F.col("digest") == F.col("of")) & F.col("page_id").eqNullSafe(F.col("page")), "left").drop("of", "page")
     marked = marked.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
     parts = F.greatest(F.lit(1), F.ceil(F.length("payload") / size)).cast("int")
     dealt = marked.select("page_id", "url", "digest", "bytes", "refers_to", "payload", parts.alias("chunks"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("chunk_no"))
@@ -201,6 +202,6 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 8, kinds, strict=True)], ["page_id", "record_type", "refers_to", "chunk_no", "chunk", "payload_bytes", "payload_digest", "last"])
 
-    # the manifest is small, and each segment is work for one task
-    n = max(1, manifest.count())
+    # the manifest is small; a segment is work for one task, and of very many segments a task takes several
+    n = max(1, min(manifest.count(), 64 * session_parallelism(manifest.sparkSession)))
     return manifest.repartition(n, "path", "start").mapInArrow(run, RECORDS)

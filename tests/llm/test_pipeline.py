@@ -1,11 +1,11 @@
 from itertools import groupby
 
 import corpus_pipeline
-from quarry.llm import quality_rules, simhash, toxicity
+from quarry.llm import quality_rules, toxicity
 from quarry.llm.common import table
 from quarry.llm.packing import ByteEncoder
 from quarry.llm.queries import tokenizer_file
-from test_simhash import brute as brute_simhash
+from test_simhash import brute_alike
 from test_substring_dedup import brute as brute_substring
 
 
@@ -20,7 +20,7 @@ def test_run_matches_brute_force(spark, sf):
     left = {i: r for i, r in rows.items() if i not in toxic}
     kept = {r.doc_id for r in quality_rules.judge(spark.createDataFrame(list(left.values()), docs.schema), labels).collect() if r.kept}
     left = {i: r for i, r in left.items() if i in kept}
-    left = {d: left[d] for d, _, c in brute_simhash([(r.doc_id, r.text) for r in left.values()]) if d == c}
+    left = {d: left[d] for _, d in brute_alike([(r.doc_id, r.text) for r in left.values()])}
     removed = {d: n for d, _, n, _ in brute_substring([(r.doc_id, r.text) for r in left.values()], 35)}
     assert 0 < len(left) < len(rows)
 

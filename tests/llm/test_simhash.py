@@ -1,5 +1,7 @@
 from itertools import combinations
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -61,6 +63,101 @@ def test_one_of_each(spark, rows):
     assert got.where("doc_id is null").count() == 1
 
 
+def brute_alike(rows, k=5, similarity=0.8):
+    """The rows (by place) that one_of_alike keeps, from all pairs."""
+    words = [(r[1] or "").encode().lower().split() for r in rows]
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if words[i] == words[j] or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r[0])
+    return sorted((min((d is None, d or 0) for d in g) for g in groups.values()), key=str)
+
+
+@pytest.fixture
+def variants():
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    out = []
+    for i in range(240):
+        base = [word() for _ in range(rnd.choice([120, 150, 400]))]
+        for _ in range(rnd.randrange(1, 4)):
+            copy = list(base)
+            # no word, one of the text or one in ten differs: far from the limit on either side
+            for _ in range(rnd.choice([0, 1, len(copy) // 10])):
+                copy[rnd.randrange(len(copy))] = word()
+            out.append((len(out) * 7 % 1009, " ".join(copy), "en", "x"))
+    crowd = [word() for _ in range(200)]
+    for i in range(90):
+        out.append((2000 + i, " ".join([*crowd[: i % 200], word(), *crowd[i % 200 + 1 :]]), "de", "y"))
+    return [*out, (5000, None, None, None), (5001, "", "", ""), (5002, " \n", "", ""), (None, "One two", "", ""), (None, "q r s", "", ""), (5003, "one TWO", "", ""), (5004, "x " * 50_000, "", ""), out[0], out[0], (out[0][0], "another text of one doc_id", "", "")]
+
+
+def test_one_of_alike_matches_all_pairs(spark, variants):
+    df = spark.createDataFrame(variants, SCHEMA).withColumnRenamed("lang", "Rank").withColumnRenamed("fp", "key")
+    want = brute_alike(variants)
+    for options in ({}, {"block": 8}):
+        got = simhash.one_of_alike(df, **options)
+        assert got.columns == df.columns
+        assert sorted(((r.doc_id is None, r.doc_id or 0) for r in got.collect()), key=str) == want
+
+
+def test_alike_compares_groups_in_blocks(spark, variants):
+    rows = [r for r in variants if r[0] is not None and 2000 <= r[0] < 2090]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    own = simhash.signatures(docs, 5).selectExpr("key", "words", "1L AS group")
+    edges = simhash.alike(docs, own, 5, 0.8, block=16).collect()
+    root = {w: w for e in edges for w in (e.a, e.b)}
+    for e in edges:
+        a, b = e.a, e.b
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    assert len(root) == len({r[1] for r in rows}) and sum(root[w] == w for w in root) == 1
+
+
+def test_jaccard_of_many_sets_equals_that_of_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**60, 300)
+    sets = [np.unique(np.concatenate((base[rng.random(300) < rng.choice([0.7, 0.95, 1.0])], rng.integers(0, 2**60, rng.integers(0, 40))))) for _ in range(60)]
+    a, b = simhash._alike(sets, 0.8, None)
+    linked = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(both := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(both))}
+    assert all(tuple(sorted(e)) in linked for e in zip(a, b))
+    reach = lambda edges: simhash.spanning(60, *map(np.array, zip(*edges)))
+    assert len(a) == len(reach(sorted(linked))[0])
+
+
+def test_candidates_near_the_limit_are_mostly_found(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(400):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for at in range(3, 300, 50):  # each change takes five shingles of 296
+            copy[at] = word()
+        rows += [(2 * i, " ".join(base), "", ""), (2 * i + 1, " ".join(copy), "", "")]
+    left = simhash.one_of_alike(spark.createDataFrame(rows, SCHEMA)).count()
+    assert 400 <= left < 400 + 0.15 * 400
+
+
+def test_one_of_alike_of_an_empty_table(spark):
+    assert simhash.one_of_alike(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

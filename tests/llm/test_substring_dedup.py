@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarry.llm import substring_dedup as sd
@@ -60,3 +61,51 @@ def test_untouched_text_stays(spark):
 
 def test_empty_table(spark):
     assert sd.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("window", [127, 135, 200, 300])
+def test_wide_windows(spark, window):
+    rng = np.random.default_rng(window)
+    word = lambda: str(rng.integers(10**6))
+    shared, long = [word() for _ in range(350)], [word() for _ in range(70_000)]
+    docs = [(1, " ".join(shared)), (2, " ".join([word(), *shared, word()])), (3, " ".join(shared[: window - 1])), (4, " ".join(long)), (5, " ".join([*long[-400:], *shared[:10]])), (6, None)]
+    got = sd.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), window=window)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == sorted((d, n, m) for d, n, m, _ in brute(docs, window))
+
+
+def test_ten_batches_in_two_sessions(spark):
+    rng = np.random.default_rng(2)
+    base = [[str(rng.integers(50_000)) for _ in range(120)] for _ in range(12)]
+    docs = []
+    for i in range(100):
+        lo = int(rng.integers(0, 60))
+        docs.append((i, " ".join([*map(str, rng.integers(0, 10**6, 30)), *base[i % 12][lo : lo + 60], *map(str, rng.integers(0, 10**6, 10))])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = sd.FingerprintIndex(spark)
+    for i in range(5):
+        index.append(df.where(f"doc_id % 10 = {i}"))
+    folder, written, names = index.save(), index.rows_written, [x[0] for x in index.runs]
+    for name in names:  # what a session that ended leaves: the files
+        spark.sql(f"DROP TABLE {name}")
+    index = sd.FingerprintIndex.open(spark.newSession(), folder)
+    for i in range(5, 10):
+        index.append(index.spark.createDataFrame([d for d in docs if d[0] % 10 == i], "doc_id long, text string"))
+    rows = index._rows().count()
+    assert sorted(level for _, _, level in index.runs) == [1, 3]
+    # each row is written once for each level it has reached: 8 batches reach level 3, 2 reach level 1
+    assert written + index.rows_written <= 4 * rows
+    covered = sd._verified(index, index.spark.createDataFrame(docs, "doc_id long, text string"))
+    keys = {r.key: r.doc_id for r in df.select(sd.row_key().alias("key"), "doc_id").collect()}
+    gone = {}
+    for r in covered.collect():
+        gone.setdefault(keys[r.key], set()).update(range(r.low, r.high))
+    assert {d: len(gone.get(d, ())) for d, _ in docs} == {d: m for d, _, m, _ in brute(docs, 35)}
+    index.drop()
+
+
+def test_copies_of_one_row_are_dealt_apart(spark):
+    text = " ".join(map(str, range(60)))
+    docs = [(7, text)] * 400 + [(i, f"{i} {text}") for i in range(100, 140)] + [(1, None), (2, "short")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sd.deduplicated(df, crowd=32, hot=8)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == sorted((d, n, m) for d, n, m, _ in brute(docs, 35))
