@@ -24,8 +24,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of texts that share four fifths of their five-word shingles, among candidates by SimHash."""
+    return simhash.one_of_alike(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
