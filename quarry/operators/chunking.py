@@ -134,36 +134,45 @@ SECTION = "struct<title: string, content: string, page: int>"
 
 
 def _page_sections(page: Column, number: Column) -> Column:
-    def flushed(s: Column) -> Column:
-        text = trimmed(F.array_join(s["lines"], "\n"))
-        return F.when(text != "", F.array_append(s["done"], F.struct(s["title"].alias("title"), text.alias("content"), number.alias("page")).cast(SECTION))).otherwise(s["done"])
+    """The text between headers, each with the header before it; headers without text are left out."""
+    def cut(lines: Column) -> Column:
+        places = F.filter(F.transform(lines, lambda line, i: F.when(section_header(line), i)), lambda i: i.isNotNull())
+        return once(places, lambda heads: F.zip_with(F.concat(F.array(F.lit(-1)), heads), F.concat(heads, F.array(F.size(lines))), lambda a, b: section(lines, a, b)))
 
-    def step(s: Column, line: Column) -> Column:
-        head = section_header(line)
-        return F.struct(
-            F.when(head, flushed(s)).otherwise(s["done"]).alias("done"), F.when(head, trimmed(line)).otherwise(s["title"]).alias("title"), F.when(head, F.array().cast("array<string>")).otherwise(F.array_append(s["lines"], line)).alias("lines")
-        )
+    def section(lines: Column, a: Column, b: Column) -> Column:
+        text = trimmed(F.array_join(F.slice(lines, a + 2, b - a - 1), "\n"))
+        return F.struct(F.when(a >= 0, trimmed(F.get(lines, a))).alias("title"), text.alias("content"), number.alias("page")).cast(SECTION)
 
-    start = F.struct(F.array().cast(f"array<{SECTION}>").alias("done"), F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("lines"))
-    return F.aggregate(F.split(page, "\n"), start, step, flushed)
+    return F.filter(once(F.split(page, "\n"), cut), lambda x: x["content"] != "")
 
 
 def _merged_sections(sections: Column, target: int) -> Column:
-    """Sections joined as merged() does, but a section with a title of its own begins anew."""
+    """Sections joined as merged() does, but a section with a title of its own begins anew. The fold keeps places and sizes, as that of merged() does."""
+    run = "struct<first: int, n: int, title: string, page: int>"
+
     def out(s: Column) -> Column:
-        return F.when(filled(s["now"]["content"]), F.array_append(s["done"], s["now"])).otherwise(s["done"])
+        return F.when(s["now"]["n"] > 0, F.array_append(s["done"], s["now"])).otherwise(s["done"])
 
     def step(s: Column, x: Column) -> Column:
-        now = s["now"]["content"]
-        some = now != ""
-        longer = F.concat(now, F.when(some, "\n\n").otherwise(""), x["content"])
-        new = some & ((F.length(longer) > target) | x["title"].isNotNull())
-        fresh = F.struct(F.when(some, F.coalesce(x["title"], s["now"]["title"])).otherwise(x["title"]).alias("title"), x["content"].alias("content"), x["page"].alias("page")).cast(SECTION)
-        grown = F.struct(s["now"]["title"].alias("title"), longer.alias("content"), s["now"]["page"].alias("page")).cast(SECTION)
-        return F.struct(F.when(new, out(s)).otherwise(s["done"]).alias("done"), F.when(new | ~some, fresh).otherwise(grown).alias("now"))
+        now = s["now"]
+        longer = s["size"] + F.when(now["n"] > 0, 2).otherwise(0) + F.length(x["content"])
+        full = (now["n"] > 0) & ((longer > target) | x["title"].isNotNull())
+        new = full | (now["n"] == 0)
+        return F.struct(
+            F.when(full, out(s)).otherwise(s["done"]).alias("done"), F.when(new, F.length(x["content"])).otherwise(longer).alias("size"), (s["i"] + 1).alias("i"),
+            F.struct(
+                F.when(new, s["i"]).otherwise(now["first"]).alias("first"), F.when(new, F.lit(1)).otherwise(now["n"] + 1).alias("n"),
+                F.when(new, F.coalesce(x["title"], now["title"])).otherwise(now["title"]).alias("title"), F.when(new, x["page"]).otherwise(now["page"]).alias("page"),
+            ).cast(run).alias("now"),
+        )
 
-    start = F.struct(F.array().cast(f"array<{SECTION}>").alias("done"), F.struct(F.lit(None).alias("title"), F.lit("").alias("content"), F.lit(None).alias("page")).cast(SECTION).alias("now"))
-    return F.aggregate(sections, start, step, out)
+    def joined(every: Column) -> Column:
+        none = F.struct(F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(None).alias("title"), F.lit(None).alias("page")).cast(run)
+        start = F.struct(F.array().cast(f"array<{run}>").alias("done"), F.lit(0).alias("size"), F.lit(0).alias("i"), none.alias("now"))
+        text = lambda r: F.array_join(F.transform(F.slice(every, r["first"] + 1, r["n"]), lambda x: x["content"]), "\n\n")
+        return F.transform(F.aggregate(every, start, step, out), lambda r: F.struct(r["title"].alias("title"), text(r).alias("content"), r["page"].alias("page")).cast(SECTION))
+
+    return once(sections, joined)
 
 
 def _resized(sections: Column, target: int, parts: Callable[[Column], Column], separator: str) -> Column:
@@ -232,27 +241,48 @@ def _shown(text: Column) -> Column:
 
 def _split_markdown(text: Column, target: int) -> Column:
     def by_line(t: Column) -> Column:
-        lines = F.split(_shown(t), "\n")
-        return F.when((F.length(t) <= target) | (F.size(lines) < 2), F.array(t)).otherwise(merged(lines, target, "\n\n", True))
+        split = lambda lines: F.when(F.size(lines) < 2, F.array(t)).otherwise(merged(lines, target, "\n\n", True))
+        return F.when(F.length(t) <= target, F.array(t)).otherwise(once(F.split(_shown(t), "\n"), split))
 
     def by_paragraph(t: Column) -> Column:
-        parts = pieces(t, "\n\n+")
-        return F.when(F.length(t) <= target, F.array(t)).when(F.size(parts) > 1, F.flatten(F.transform(merged(parts, target, "\n\n", True), by_line))).otherwise(by_line(t))
+        split = lambda parts: F.when(F.size(parts) > 1, F.flatten(F.transform(merged(parts, target, "\n\n", True), by_line))).otherwise(by_line(t))
+        return F.when(F.length(t) <= target, F.array(t)).otherwise(once(pieces(t, "\n\n+"), split))
 
     def by_heading(t: Column, level: int, below: Callable[[Column], Column]) -> Column:
-        parts = pieces(t, f"(?m)(?=^{'#' * level} )")
-        return F.when(F.length(t) <= target, F.array(t)).when(F.size(parts) > 1, F.flatten(F.transform(parts, below))).otherwise(below(t))
+        # a text without such a heading is its one part
+        split = lambda parts: F.flatten(F.transform(F.when(F.size(parts) > 1, parts).otherwise(F.array(t)), below))
+        return F.when(F.length(t) <= target, F.array(t)).otherwise(once(pieces(t, f"(?m)(?=^{'#' * level} )"), split))
 
     by_h3 = lambda t: by_heading(t, 3, by_paragraph)
     return by_heading(text, 2, by_h3)
 
 
-def heading_path(before: Column) -> Column:
-    """The headings that hold at the end of a text, outermost first."""
-    heads = F.arrays_zip(F.regexp_extract_all(before, F.lit(r"(?m)^(#{1,6})\s+(.+)$"), F.lit(1)).alias("level"), F.regexp_extract_all(before, F.lit(r"(?m)^(#{1,6})\s+(.+)$"), F.lit(2)).alias("text"))
-    stack = "array<struct<level: int, text: string>>"
-    step = lambda s, h: F.array_append(F.filter(s, lambda x: x["level"] < F.length(h["level"])), F.struct(F.length(h["level"]).alias("level"), trimmed(h["text"]).alias("text")))
-    return F.transform(F.aggregate(heads, F.array().cast(stack), step), lambda x: x["text"])
+HEAD = "struct<level: int, text: string, first: int, last: int>"
+
+
+def headings(body: Column) -> Column:
+    """The headings of a text in order, with the places of their first and last characters, from 1 on."""
+    def found(parts: Column) -> Column:
+        # each part but perhaps the first begins with a heading; one of hashes alone takes the next part's line
+        whole = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(parts, i + 1), F.lit(""))))
+        of = lambda t, k: F.regexp_extract(t, r"^(#{1,6})(\s+)(.+)", k)
+        sizes = F.transform(whole, lambda t: F.struct(F.length(of(t, 1)).alias("level"), of(t, 3).alias("text"), F.length(of(t, 0)).alias("size")))
+        return F.arrays_zip(parts.alias("part"), sizes.alias("head"))
+
+    def step(s: Column, x: Column) -> Column:
+        head, at = x["head"], s["at"]
+        new = F.struct(head["level"].alias("level"), trimmed(head["text"]).alias("text"), at.alias("first"), (at + head["size"] - 1).alias("last")).cast(HEAD)
+        last = F.coalesce(F.try_element_at(s["all"], F.lit(-1))["last"], F.lit(0))
+        return F.struct((at + F.length(x["part"])).alias("at"), F.when((head["level"] > 0) & (at > last), F.array_append(s["all"], new)).otherwise(s["all"]).alias("all"))
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{HEAD}>").alias("all"))
+    return F.aggregate(once(F.split(body, r"(?m)(?=^#{1,6}\s+.+$)"), found), start, step, lambda s: s["all"])
+
+
+def heading_path(heads: Column, before: Column) -> Column:
+    """The headings that hold at a place, outermost first."""
+    stack = F.aggregate(F.filter(heads, lambda h: h["last"] < before), F.array().cast(f"array<{HEAD}>"), lambda s, h: F.array_append(F.filter(s, lambda x: x["level"] < h["level"]), h))
+    return F.transform(stack, lambda x: x["text"])
 
 
 def markdown(items: DataFrame, sizes: Sizes) -> DataFrame:
@@ -265,9 +295,9 @@ def markdown(items: DataFrame, sizes: Sizes) -> DataFrame:
         return F.transform(F.array(at), lambda x: F.struct(F.when(x > 0, x).otherwise(s["at"]).alias("at"), F.array_append(s["all"], x).alias("all")))[0]
 
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("all"))
-    rows = rows.withColumn("title", title).withColumn("places", F.aggregate("parts", start, next_place, lambda s: s["all"])).withColumn("texts", overlapped(F.col("parts"), sizes.overlap, ""))
+    rows = rows.withColumn("title", title).withColumn("places", F.aggregate("parts", start, next_place, lambda s: s["all"])).withColumn("texts", overlapped(F.col("parts"), sizes.overlap, "")).withColumn("heads", headings(F.col("body")))
     none = F.array().cast("array<string>")
-    found = F.zip_with("texts", "places", lambda t, p: chunk(trimmed(t), F.col("title"), F.when(p > 0, heading_path(F.substr("body", F.lit(1), p - 1))).otherwise(none)))
+    found = F.zip_with("texts", "places", lambda t, p: chunk(trimmed(t), F.col("title"), F.when(p > 0, heading_path(F.col("heads"), p)).otherwise(none)))
     return rows.withColumn("chunks", F.filter(found, lambda c: c["content"] != ""))
 
 

@@ -77,8 +77,8 @@ def _surface_forms(chunks: DataFrame, stems: list[str]) -> dict[str, str]:
     def stemmed(words: pd.Series) -> pd.Series:
         return words.map(stem)
 
-    words = chunks.select(F.explode(F.array_distinct(tokens(F.col("content")))).alias("word"))
-    words = words.where(F.substring("word", 1, 2).isin(sorted({s[:2] for s in stems}))).distinct()
+    begins = lambda t: F.substring(t, 1, 2).isin(sorted({s[:2] for s in stems}))
+    words = chunks.select(F.explode(F.array_distinct(F.filter(tokens(F.col("content")), begins))).alias("word")).distinct()
     return {r.word: r.stem for r in words.withColumn("stem", stemmed("word")).where(F.col("stem").isin(stems)).collect()}
 
 

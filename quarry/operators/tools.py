@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.scalar import glob_match
 from quarry.operators import render, search, upkeep
 from quarry.plans.indexing import Embedder
 from quarry.schemas import QUERY_LOG
@@ -29,7 +30,8 @@ class Toolbox:
     log: list[tuple] = field(default_factory=list)
 
     def _logged(self, tool: str, text: str, results: DataFrame, source: str | None, begun: float) -> DataFrame:
-        results = results.persist()
+        # a handful of rows, read once from here on
+        results = results.sparkSession.createDataFrame(results.collect(), results.schema)
         n, top = results.agg(F.count("*"), F.max("similarity")).first()
         self.log.append((tool, text, n, top, int((time.time() - begun) * 1000), source, self.session_id))
         return results
@@ -60,38 +62,62 @@ class Toolbox:
         found = search.knowledge_search(self.chunks, self.embed([query])[0], sources, limit, min_confidence) if query else search.faq_browse(self.chunks, sources, min_confidence, limit)
         return render.faq_results(self._logged(tool, query or "<browse>", found, ",".join(sources), begun)).first().text
 
-    def shell(self, command: str, cwd: str = "/") -> tuple[str, int]:
-        """Output and exit code of ls, cat, head, find, grep, qmd and related over the virtual file tree."""
+    def found(self, command: str, cwd: str = "/") -> tuple[DataFrame | None, int]:
+        """What a shell-like command finds, as rows to sort by path, line and id, with the column text; and the exit code if it finds nothing or (None) can't run.
+
+        ls, cat, head [-n N], find [-name GLOB], grep [-l], qmd and related, over the virtual file tree. Nothing comes to the driver.
+        """
         try:
             name, *args = shlex.split(command)
         except ValueError:
-            return "", 2
-        words = [a for a in args if not a.startswith("-")]
-        path = resolved(words[-1], cwd) if words and name in ("ls", "cat", "head", "find", "related") else cwd
-        tree = self.chunks.withColumn("_path", search.virtual_path())
+            return None, 2
+        flags, words = _flags(args, {"head": ["-n"], "find": ["-name"]}.get(name, []))
+        tree = self.chunks.withColumn("path", search.virtual_path())
+        at = resolved(words[-1], cwd) if words and (name in ("ls", "cat", "head", "find", "related") or name == "grep" and len(words) > 1) else cwd
+        below = (F.col("path") == at) | F.startswith("path", F.lit(at.rstrip("/") + "/"))
+        row = lambda rows, path, line, text: rows.select(F.col(path).alias("path") if path else F.lit("").alias("path"), line.alias("line"), F.lit(0).cast("long").alias("id"), text.alias("text"))
         if name == "ls":
-            rows = search.listing(self.chunks, path).collect()
-            return "\n".join(f"{r.name}/" if r.is_dir else r.name for r in rows), 0 if rows else 2
+            rows = search.listing(self.chunks, at).withColumn("name", F.concat("name", F.when(F.col("is_dir"), "/").otherwise("")))
+            return row(rows, "name", F.when(F.col("is_dir"), 0).otherwise(1), F.col("name")).withColumn("path", F.concat(F.col("line").cast("string"), "path")), 2
         if name in ("cat", "head"):
-            rows = tree.where(F.col("_path") == path).orderBy("chunk_index", "id").select("content").collect()
-            text = "\n".join(r.content for r in rows)
-            return "\n".join(text.split("\n")[:10]) if name == "head" else text, 0 if rows else 1
+            own = tree.where(F.col("path") == at)
+            lines = own.select(F.lit("").alias("path"), "chunk_index", "id", F.posexplode(F.split("content", "\n")).alias("line", "text"))
+            if name == "head":
+                first = int(flags.get("-n") or 10)
+                # a chunk has a line at least
+                lines = own.orderBy("chunk_index", "id").limit(first).select(F.lit("").alias("path"), "chunk_index", "id", F.posexplode(F.split("content", "\n")).alias("line", "text")).orderBy("chunk_index", "id", "line").limit(first)
+            return lines.select("path", F.struct("chunk_index", "id", "line").alias("line"), F.lit(0).cast("long").alias("id"), "text"), 1
         if name == "find":
-            rows = tree.where(F.startswith("_path", F.lit(path.rstrip("/") + "/"))).select("_path").distinct().orderBy("_path").collect()
-            return "\n".join(r._path for r in rows), 0
+            rows = tree.where(below & (F.col("path") != at)).select("path").distinct()
+            if "-name" in flags:
+                rows = rows.where(glob_match(F.substring_index("path", "/", -1), [flags["-name"]]))
+            return row(rows, "path", F.lit(0), F.col("path")), 0
         if name in ("grep", "qmd"):
             if not words:
-                return "", 2
+                return None, 2
             literal = words[0] if name == "grep" else " ".join(words)
-            found = search.grep(self.chunks, literal) if name == "grep" else search.semantic_grep(self.chunks, self.embed([literal])[0], literal)
-            rows = found.orderBy("path", "line", "id").collect()
-            return ("\n".join(f"{r.path}:{r.line}:{r.text}" for r in rows), 0) if rows else (HINT if name == "grep" else "", 1)
+            rows = search.grep(self.chunks, literal).where(below) if name == "grep" else search.semantic_grep(self.chunks, self.embed([literal])[0], literal)
+            if "-l" in flags:
+                return row(rows.select("path").distinct(), "path", F.lit(0), F.col("path")), 1
+            return rows.select("path", "line", "id", F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(":"), "text").alias("text")), 1
         if name == "related":
-            text = tree.where(F.col("_path") == path).orderBy("chunk_index").select(F.substring("content", 1, 8000).alias("t")).first()
+            text = tree.where(F.col("path") == at).orderBy("chunk_index", "id").select(F.substring("content", 1, 8000).alias("t")).first()
             if text is None:
-                return "", 1
-            return "\n".join(f"{r.path} ({r.similarity:.2f})" for r in search.related_files(self.chunks, self.embed([text.t])[0], path).collect()), 0
-        return f"{name}: not found", 127
+                return None, 1
+            rows = search.related_files(self.chunks, self.embed([text.t])[0], at)
+            return row(rows, "path", -F.col("similarity"), F.format_string("%s (%.2f)", "path", "similarity")).withColumn("path", F.lit("")), 0
+        return None, 127
+
+    def shell(self, command: str, cwd: str = "/", page: int = 2000, skip: int = 0) -> tuple[str, int]:
+        """A page of what a command finds, as text, and the exit code; a last line tells how to go on where there is more."""
+        rows, code = self.found(command, cwd)
+        if rows is None:
+            return (f"{command.split()[0]}: not found" if code == 127 else ""), code
+        got = [r.text for r in rows.orderBy("path", "line", "id", "text").offset(skip).limit(page + 1).select("text").collect()]
+        if not got and not skip:
+            return (HINT if command.split()[0] == "grep" else ""), code
+        more = [f"... more: from line {skip + page + 1} on"] if len(got) > page else []
+        return "\n".join([*got[:page], *more]), 0
 
     def health(self, states: DataFrame) -> dict[str, Any]:
         """Numbers of chunks by source and in all, and the states of the sources."""
@@ -109,3 +135,19 @@ def resolved(path: str, cwd: str = "/") -> str:
         elif part not in ("", "."):
             out.append(part)
     return "/" + "/".join(out)
+
+
+def _flags(args: list[str], valued: list[str]) -> tuple[dict[str, str], list[str]]:
+    """Flags, with the values of those that take one, and words; clustered one-letter flags are taken apart."""
+    flags, words, rest = {}, [], list(args)
+    while rest:
+        a = rest.pop(0)
+        if a in valued and rest:
+            flags[a] = rest.pop(0)
+        elif a[:2] in valued and len(a) > 2:
+            flags[a[:2]] = a[2:]
+        elif a.startswith("-") and len(a) > 1:
+            flags |= {f"-{c}": "" for c in a[1:]}
+        else:
+            words.append(a)
+    return flags, words

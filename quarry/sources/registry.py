@@ -62,6 +62,8 @@ def register(kind: str, factory: Callable[..., Provider]) -> None:
 
 
 def provider(kind: str, spark: SparkSession, **options: Any) -> Provider:
+    from quarry.sources import chats  # noqa: F401  adds its kinds
+
     if kind not in PROVIDERS:
         raise ValueError(f"no provider for {kind}; there are {', '.join(sorted(PROVIDERS))}")
     return PROVIDERS[kind](spark, **options)

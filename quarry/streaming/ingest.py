@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.operators.analytics import redacted
 
 TELEMETRY = "_telemetry"
+#: Events in one row of collected data.
+MOST_EVENTS = 10_000
 
 
 def log_stream(spark: SparkSession, folder: str, schema: str, keep_text: bool = True) -> DataFrame:
@@ -27,10 +29,12 @@ def telemetry_stats(events: DataFrame) -> DataFrame:
 
 
 def flush(events: DataFrame, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Write the events of each micro-batch as one row of collected data. A batch that fails is tried again by Spark."""
+    """Write the events of each micro-batch as rows of collected data, about MOST_EVENTS to a row. A batch that fails is tried again by Spark."""
     def write(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            row = batch.agg(F.to_json(F.struct(F.collect_list(F.struct(*batch.columns)).alias("events"))).alias("data"))
+        columns, rows = batch.columns, -(-batch.count() // MOST_EVENTS)
+        if rows:
+            parts = batch.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(rows)))
+            row = parts.groupBy("_part").agg(F.to_json(F.struct(F.collect_list(F.struct(*columns)).alias("events"))).alias("data"))
             row.select(F.lit(TELEMETRY).alias("tool_name"), "data", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(path)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -43,6 +43,13 @@ def test_shell(box):
     assert box.shell("rm x")[1] == 127 and box.shell("grep")[1] == 2 and box.shell("cat 'x")[1] == 2
 
 
+def test_shell_flags_and_pages(box):
+    assert box.shell("head -n 1 /docs/guide.md") == ("install the client", 0) and box.shell("head -n2 /docs/guide.md") == (TEXTS["docs", "guide.md"], 0)
+    assert box.shell("find / -name '*.md'") == ("/docs/faq.md\n/docs/guide.md", 0)
+    assert box.shell("grep -rl install /") == ("/docs/faq.md\n/docs/guide.md", 0) and box.shell("grep install guide.md", "/docs") == ("/docs/guide.md:1:install the client", 0)
+    assert box.shell("find /", page=2) == ("/code/main.py\n/docs/faq.md\n... more: from line 3 on", 0) and box.shell("find /", page=2, skip=2) == ("/docs/guide.md", 0)
+
+
 def test_health(box, spark):
     states = spark.createDataFrame([("code", "k", "idle")], "source_type string, source_key string, status string")
     assert box.health(states) == {"total": 3, "repos": 1, "by_source": {"code": 1, "docs": 2}, "states": [{"source_type": "code", "source_key": "k", "status": "idle"}]}
