@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import MIX, as_bytes, fresh, row_key, session_parallelism, starts_of, whole_groups, written
-from quarry.llm.components import components, spanning
+from quarry.llm.components import components, spanning, stars
 
 
 def fingerprint(text: bytes, k: int = 4) -> int:
@@ -161,7 +161,7 @@ def links(distinct: DataFrame, radius: int = 4, groups: int | None = None, block
                 x, y = _forest(np.unique(fps[at[k] : at[k + 1]]), radius)
                 a.append(x)
                 b.append(y)
-            a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+            a, b = stars(*(np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     dealt = written(distinct.select("fp").mapInArrow(deal, "cell long, fp long"), "cells")
@@ -225,7 +225,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 def candidates(texts: DataFrame, radius: int = 4, groups: int = 6, block: int = 4096) -> DataFrame:
     """Edges (a, b) among texts (words, f0, f1 and so on) that share a cell of one of their fingerprints and differ in at most FAR bits of the first COMPARED;
-    of each cell, those of a spanning forest."""
+    of each task, no more than connect what they connect."""
     n, every = session_parallelism(texts.sparkSession), [c for c in texts.columns if c != "words"]
     names = every[:COMPARED]
 
@@ -268,7 +268,7 @@ def candidates(texts: DataFrame, radius: int = 4, groups: int = 6, block: int =
                     a.append(np.full(len(found), x))
                     b.append(found)
                     queue += found.tolist()
-            a, b = (words[np.concatenate(e)] if e else np.zeros(0, np.int64) for e in (a, b))
+            a, b = stars(*(words[np.concatenate(e)] if e else np.zeros(0, np.int64) for e in (a, b)))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     schema = "cell long, words long, " + ", ".join(f"{c} long" for c in names)
@@ -307,12 +307,13 @@ def _alike(sets: list[np.ndarray], similarity: float, cross: np.ndarray | None)
 
 
 def alike(docs: DataFrame, rows: DataFrame, k: int, similarity: float, block: int = 512) -> DataFrame:
-    """Edges (a, b) that connect what pairs of texts with the given similarity connect. rows: key, words and group of a row for each text that has candidates."""
+    """Edges (a, b) that connect what pairs of texts with the given similarity connect. docs: key and text, each key once; rows: key, words and group of a
+    row for each text that has candidates."""
     n = session_parallelism(docs.sparkSession)
     sizes = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
     dealt = rows.join(sizes, "group").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("words"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("group", F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")))
-    texts = docs.select(row_key().alias("key"), "text").join(rows.select("key"), "key").dropDuplicates(["key"])
+    texts = docs.select("key", "text").join(rows.select("key"), "key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,16 +340,17 @@ def alike(docs: DataFrame, rows: DataFrame, k: int, similarity: float, block: in
 def one_of_alike(docs: DataFrame, k: int = 5, similarity: float = 0.8, **options: int) -> DataFrame:
     """One row, with all columns, of each group of texts that are equal in words or linked by similarity: that with the smallest doc_id (null last), then
     the smallest hash. Of equal rows one stays."""
+    columns = docs.columns
+    key, rank = fresh("key", columns), fresh("rank", columns)
+    # of equal rows the first, by each task before rows are moved
+    first = docs.withColumn(key, row_key()).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*columns)))).where(F.col(rank) == 1)
     own = written(signatures(docs, k), "signatures")
     prints = [c for c in own.columns if c not in ("doc_id", "key", "words")]
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
     texts = written(own.groupBy("words").agg(F.min(order).alias("best"), *(F.first(c).alias(c) for c in prints)), "different-texts")
     groups = components(candidates(texts.select("words", *prints), **options)).select(F.col("node").alias("words"), F.col("component").alias("group"))
     rows = written(texts.select("words", F.col("best.key").alias("key")).join(groups, "words"), "candidate-texts")
-    linked = components(alike(docs, rows, k, similarity))
+    linked = components(alike(first.select(F.col(key).alias("key"), "text"), rows, k, similarity))
     by_text = texts.select("words", "best").join(linked.withColumnRenamed("node", "words"), "words", "left")
     kept = by_text.groupBy(F.coalesce("component", "words").alias("c")).agg(F.min("best").alias("best")).select("best.key")
-    columns = docs.columns
-    key, rank = fresh("key", columns), fresh("rank", columns)
-    first = docs.withColumn(key, row_key()).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*columns)))).where(F.col(rank) == 1)
     return first.join(kept.withColumnRenamed("key", key), key, "left_semi").select(*columns)

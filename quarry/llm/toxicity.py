@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import MIX, hash_sample, session_parallelism, slices, written
 
-PREFIX, BLOCK, EAGER, MARGIN, FLOOR, LEAST_DOCS, DRAWN, SLICE = 5, 32, 8, 4.0, 0.02, 3, 4, 1 << 22
+PREFIX, BLOCK, EAGER, MARGIN, FLOOR, LEAST_DOCS, DRAWN, SLICE = 5, 32, 8, 4.0, 0.02, 3, 4, 1 << 21
 _OUTER = ".,;:!?\"'()[]{}<>-_*#$%&|…«»„“”"
 #: Of the share of the bar that a term's ratio reaches: terms that chance could give weigh little.
 POWER = 2
@@ -85,8 +85,16 @@ class BlockMaxIndex:
 
     size: int
     rows: list[tuple[np.ndarray, np.ndarray]]
+    n: int = 0
     _built: tuple[np.ndarray, ...] | None = None
 
+    def __post_init__(self) -> None:
+        self.n = len(self.rows)
+
+    def __getstate__(self) -> dict:
+        """Tasks get the lists only."""
+        return {"size": self.size, "rows": [], "n": self.n, "_built": self._lists()}
+
     def _lists(self) -> tuple[np.ndarray, ...]:
         """Blocks of all posting lists, term after term: where a term's blocks start, each block's number, largest weight and first posting; examples and weights of the postings."""
         if self._built is None:
@@ -98,14 +106,14 @@ class BlockMaxIndex:
             first = np.flatnonzero(np.diff(key, prepend=-1))
             most = np.maximum.reduceat(weights, first) if len(first) else weights
             starts = np.searchsorted(terms[first], np.arange(self.size + 1))
-            self._built = starts, examples[first] // BLOCK, most, np.append(first, len(key)), examples.astype(np.int32), weights
+            self._built = starts.astype(np.int32), (examples[first] // BLOCK).astype(np.int32), most, np.append(first, len(key)).astype(np.int32), examples.astype(np.int32), weights
         return self._built
 
     def search(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine and these cosines, in falling order."""
         starts, blocks, most, first, examples, values = self._lists()
-        n = len(self.rows)
-        lengths = starts[ids + 1] - starts[ids]
+        n = self.n
+        lengths = (starts[ids + 1] - starts[ids]).astype(np.int64)
         at, own = spread(starts[ids], lengths), np.repeat(weights, lengths)
         block = blocks[at]
         bound = np.bincount(block, most[at] * own, -(-n // BLOCK))
@@ -116,7 +124,7 @@ class BlockMaxIndex:
             mine = np.zeros(len(bound), dtype=bool)
             mine[chosen] = True
             hit = mine[block]
-            lo = first[at[hit]]
+            lo = first[at[hit]].astype(np.int64)
             sizes = first[at[hit] + 1] - lo
             posting = spread(lo, sizes)
             np.add(sums, np.bincount(examples[posting], values[posting] * np.repeat(own[hit], sizes), n), out=sums)
@@ -147,6 +155,16 @@ class Model:
     k: int = 15
     _terms: Terms | None = None
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_terms": None, "vocabulary": self.vocabulary or list(self._terms.ids if self._terms else [])}
+
+    @property
+    def terms(self) -> Terms:
+        """Of a task: the list of terms is let go once they have numbers."""
+        if self._terms is None:
+            self._terms, self.vocabulary = Terms(self.vocabulary), []
+        return self._terms
+
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weights[ids]
         return ids, w / max(np.sqrt((w * w).sum()), 1e-12)
@@ -157,8 +175,7 @@ class Model:
 
     def judge(self, texts: pa.Array, most: int = 3) -> tuple[np.ndarray, list[list[dict]]]:
         """Scores of the texts, and of each the nearest examples, so many at most."""
-        self._terms = self._terms or Terms(self.vocabulary)
-        starts, ids, counts = self._terms.count(texts)
+        starts, ids, counts = self.terms.count(texts)
         scores, evidence = np.full(len(texts), self.bare), [[] for _ in range(len(texts))]
         for i in np.flatnonzero(np.diff(starts)):
             mine = slice(starts[i], starts[i + 1])
@@ -299,9 +316,8 @@ def _votes(drawn: DataFrame, model: Model, totals: dict[int, int]) -> tuple[np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        known = Terms(own.vocabulary)
         for batch in slices(batches, "text", SLICE):
-            starts, ids, counts = known.count(batch.column("text"))
+            starts, ids, counts = own.terms.count(batch.column("text"))
             votes = np.full(batch.num_rows, own.bare)
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 mine = slice(starts[i], starts[i + 1])

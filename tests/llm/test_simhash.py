@@ -117,7 +117,7 @@ def test_alike_compares_groups_in_blocks(spark, variants):
     rows = [r for r in variants if r[0] is not None and 2000 <= r[0] < 2090]
     docs = spark.createDataFrame(rows, SCHEMA)
     own = simhash.signatures(docs, 5).selectExpr("key", "words", "1L AS group")
-    edges = simhash.alike(docs, own, 5, 0.8, block=16).collect()
+    edges = simhash.alike(docs.select(simhash.row_key().alias("key"), "text"), own, 5, 0.8, block=16).collect()
     root = {w: w for e in edges for w in (e.a, e.b)}
     for e in edges:
         a, b = e.a, e.b
