@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import embedding_dedup, oracles, packing, pieces, quality_gam, quality_rules, sharding, simhash, substring_dedup, toxicity, warc
+from quarry.llm import alignment, brown, embedding_dedup, oracles, packing, pieces, quality_gam, quality_rules, sharding, simhash, substring_dedup, toxicity, warc, whitening
 from quarry.llm.common import scratch_path, table
 
 
@@ -73,6 +73,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(table(spark, sf_dir, "embeddings"), 32).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, texts = brown.fit(table(spark, sf_dir, "documents"), held_out(10, 0))
+    return brown.scored(texts, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
@@ -84,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
+    "op13_brown_lm": op13_brown_lm,
 }
 
 ORACLES: dict[str, str] = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_warc": oracles.WARC, "op4_embedding_dedup": oracles.EMBEDDING_DEDUP}
