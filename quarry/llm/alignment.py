@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices, starts_of, written
 from quarry.llm.packing import byte_letters
 
-#: Bytes of text that are aligned together; units and characters of them that a task keeps before it begins anew.
-SLICE, KEPT, KEPT_CHARS = 4 << 20, 300_000, 16 << 20
+#: Bytes of text that are aligned together; units that the libraries see in one call, whose spans are Python objects;
+#: units and characters of them that a task keeps before it begins anew.
+SLICE, CALL, KEPT, KEPT_CHARS = 2 << 20, 4096, 200_000, 8 << 20
 #: A space that begins a unit: white space is on neither side.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _NEAR = re.compile(r" \s|\s ")
@@ -198,8 +199,9 @@ class Aligned:
         if len(self.known) > KEPT or self.chars > KEPT_CHARS:
             self.clear()
         parts = [units(t) if t else [] for t in texts]
-        if new := [*{*chain.from_iterable(parts)} - self.known.keys()]:
-            self.add(new)
+        new = [*{*chain.from_iterable(parts)} - self.known.keys()]
+        for lo in range(0, len(new), CALL):
+            self.add(new[lo : lo + CALL])
         known = self.known
         for p in parts:
             at = np.array([known[u] for u in p], np.int64)
