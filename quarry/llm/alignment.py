@@ -20,7 +20,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from quarry.llm.packing import byte_letters
 
 #: Bytes of text that are aligned together; units that the libraries see in one call, whose spans are Python objects;
 #: units and characters of them that a task keeps before it begins anew.
-SLICE, CALL, KEPT, KEPT_CHARS = 2 << 20, 4096, 200_000, 8 << 20
+SLICE, CALL, KEPT, KEPT_CHARS = 4 << 20, 4096, 500_000, 16 << 20
 #: A space that begins a unit: white space is on neither side.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _NEAR = re.compile(r" \s|\s ")
@@ -63,7 +63,7 @@ class Vocabularies:
         plain = lambda i: not (self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() if plain(i) else b"" for i, (p, byte) in enumerate(zip(pieces, fallback, strict=True))]
         self.a_lengths, self.b_lengths = (np.array([*map(len, t)], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.names = [[f"{i}{end}" for end in ",|;" for i in range(n)] for n in (len(self.a_bytes), count)]
+        self.names = [np.array([f"{i}{end}" for end in ",|;" for i in range(n)], object) for n in (len(self.a_bytes), count)]
         self.pairs = self._pairs()
 
     def _pairs(self) -> np.ndarray:
@@ -111,6 +111,12 @@ def refined(first: np.ndarray, last: np.ndarray, unit: np.ndarray, lengths: np.n
     return np.where(inside, np.repeat(first[begins], size) + sums - before, last)
 
 
+def _flat(ids: list[list[int]], spans: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids and spans of several texts one after another, and the number of the text of each."""
+    flat = np.array([*chain.from_iterable(chain.from_iterable(spans))], np.int64).reshape(-1, 2)
+    return np.array([*chain.from_iterable(ids)], np.int64), flat, np.repeat(np.arange(len(ids)), [*map(len, ids)])
+
+
 class Aligned:
     """Units aligned so far: their numbers of tokens and groups, their groups as text, the places of their linked pairs."""
 
@@ -125,34 +131,47 @@ class Aligned:
         self.counts = np.zeros((0, 3), np.int64)  # of A tokens, of B tokens, of groups; no tokens where bytes differ
         self.starts = np.zeros(1, np.int64)
         self.linked = np.zeros(0, np.int32)
+        self.seen = np.zeros(0, np.int64)  # how often each was asked for
+
+    def forget(self) -> None:
+        """Drop the units that were asked for once, as most are; all, if that is not the most."""
+        keep = np.flatnonzero(self.seen > 1)
+        if 2 * len(keep) > len(self.seen):
+            return self.clear()
+        names, texts = [*self.known], self.texts
+        linked, sizes, counts, seen = self.pairs_of(keep), self.counts[keep, 2], self.counts[keep], self.seen[keep]
+        self.clear()
+        self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.texts = [texts[i] for i in keep.tolist()]
+        self.chars = sum(map(len, self.known))
+        self.counts, self.linked, self.starts, self.seen = counts, linked, np.append(0, np.cumsum(sizes)), seen // 2
 
     def add(self, new: list[str]) -> None:
+        """Align new units. Those that may stand beside each other in a text are encoded as one text."""
         w = self.words
-        whole = [" " + u for u in new]
-        raw = [u.encode() for u in whole]
+        alone = [u for u in new if "▁" in u or u[0].isspace() or u[-1].isspace()]
+        new = [u for u in new if u not in {*alone}] + alone
+        plain = len(new) - len(alone)
+        texts = [*([" ".join(new[:plain])] if plain else []), *alone]
+        raw = [b" " + u.encode() for u in new]
         base = np.cumsum([0, *map(len, raw)])
-        every = np.frombuffer(b"".join(raw), np.uint8)
-        chars = np.append(np.flatnonzero((every & 0xC0) != 0x80), len(every))
-        first_char = np.cumsum([0, *map(len, whole)])
-
-        found = w.a.encode_batch(whole, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        spans = np.array([*chain.from_iterable(chain.from_iterable(e.offsets for e in found))], np.int64).reshape(-1, 2)
-        a_ids, a_unit = np.array([*chain.from_iterable(ids)], np.int64), np.repeat(np.arange(len(new)), [*map(len, ids)])
-        spans = chars[spans + first_char[a_unit, None]]
-        a_ends = refined(spans[:, 0], spans[:, 1], a_unit, w.a_lengths[a_ids])
-
-        found = [m.pieces for m in w.b.encode(new, return_type="proto", num_threads=1)]
-        sizes = [*map(len, found)]
-        flat = np.array([v for m in found for p in m for v in (p.id, p.begin, p.end)], np.int64).reshape(-1, 3)
-        b_ids, b_unit = flat[:, 0], np.repeat(np.arange(len(new)), sizes)
-        place = base[b_unit] + 1  # B's spans leave out the space in front, which is its first piece's
-        begins = flat[:, 1] + place
-        begins[starts_of(b_unit)[:-1]] -= 1
-        b_ends = refined(begins, flat[:, 2] + place, b_unit, w.b_lengths[b_ids])
-
-        a_good, b_good = self._same(a_ids, a_unit, w.a_bytes, a_ends, w.a_lengths, raw, base), self._same(b_ids, b_unit, w.b_bytes, b_ends, w.b_lengths, raw, base)
-        good = a_good & b_good
+        every = b"".join(raw)
+        chars = np.append(np.flatnonzero((np.frombuffer(every, np.uint8) & 0xC0) != 0x80), len(every))
+        first_char = np.cumsum([0, *(len(t) + 1 for t in texts)])
+
+        found = w.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
+        a_ids, spans, part = _flat([e.ids for e in found], [e.offsets for e in found])
+        spans = chars[spans + first_char[part, None]]
+        a_ends = refined(spans[:, 0], spans[:, 1], part, w.a_lengths[a_ids])
+
+        found = w.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)  # the spans of its proto
+        b_ids, spans, part = _flat([m["ids"] for m in found], [m["offsets"] for m in found])
+        spans += chars[first_char[part], None] + 1  # B's spans leave out the space in front, which is its first piece's
+        spans[starts_of(part)[:-1], 0] -= 1
+        b_ends = refined(spans[:, 0], spans[:, 1], part, w.b_lengths[b_ids])
+
+        a_unit, b_unit = (np.searchsorted(base[1:], ends) for ends in (a_ends, b_ends))
+        good = self._same(a_ids, a_unit, w.a_bytes, a_ends, w.a_lengths, raw, base) & self._same(b_ids, b_unit, w.b_bytes, b_ends, w.b_lengths, raw, base)
         if not good.all():
             a_ids, a_ends, a_unit = (x[good[a_unit]] for x in (a_ids, a_ends, a_unit))
             b_ids, b_ends, b_unit = (x[good[b_unit]] for x in (b_ids, b_ends, b_unit))
@@ -184,7 +203,7 @@ class Aligned:
         for ids, at, mark, table in ((a_ids, a_at, 1, w.names[0]), (b_ids, b_at, 2, w.names[1])):
             kind = np.zeros(len(ids), np.int64)
             kind[at] = mark
-            names.append(np.array(table, object)[ids + kind * (len(table) // 3)])
+            names.append(table[ids + kind * (len(table) // 3)])
         order = np.concatenate((2 * np.searchsorted(cuts, a_ends), 2 * np.searchsorted(cuts, b_ends) + 1)).argsort(kind="stable")
         flat = np.concatenate(names)[order].tolist()
         ends = np.cumsum(counts[:, 0] + counts[:, 1]).tolist()
@@ -197,14 +216,18 @@ class Aligned:
     def of(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """For each text, the numbers of its units, or None where it has no tokens."""
         if len(self.known) > KEPT or self.chars > KEPT_CHARS:
-            self.clear()
+            self.forget()
         parts = [units(t) if t else [] for t in texts]
-        new = [*{*chain.from_iterable(parts)} - self.known.keys()]
+        places = [np.fromiter(map(self.known.get, p, repeat(-1)), np.int64, len(p)) for p in parts]
+        missed = [np.flatnonzero(at < 0).tolist() for at in places]
+        new = [*dict.fromkeys(p[i] for p, at in zip(parts, missed, strict=True) for i in at)]
         for lo in range(0, len(new), CALL):
             self.add(new[lo : lo + CALL])
-        known = self.known
-        for p in parts:
-            at = np.array([known[u] for u in p], np.int64)
+        self.seen = np.append(self.seen, np.zeros(len(self.counts) - len(self.seen), np.int64))
+        for p, at, miss in zip(parts, places, missed, strict=True):
+            at[miss] = [self.known[p[i]] for i in miss]
+        self.seen += np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), minlength=len(self.seen))
+        for at in places:
             yield at if len(at) and self.counts[at, 0].all() else None
 
     def pairs_of(self, at: np.ndarray) -> np.ndarray:
