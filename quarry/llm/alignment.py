@@ -32,7 +32,9 @@ from quarry.llm.packing import byte_letters
 
 #: Bytes of text that are aligned together; units that the libraries see in one call, whose spans are Python objects;
 #: units and characters of them that a task keeps before it begins anew.
-SLICE, CALL, KEPT, KEPT_CHARS = 4 << 20, 4096, 500_000, 16 << 20
+SLICE, CALL, KEPT, KEPT_CHARS = 2 << 20, 4096, 400_000, 12 << 20
+#: Rows of links that are summed together.
+ROWS = 512
 #: A space that begins a unit: white space is on neither side.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _NEAR = re.compile(r" \s|\s ")
@@ -275,7 +277,7 @@ def pair_counts(links: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(total, np.int64)
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             n += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=total)
         at = np.flatnonzero(n)
         pairs = vocabularies(a_path, b_path).pairs[at]
@@ -299,7 +301,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, best = counts.value
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, max(1, b.num_rows), ROWS)):
             links = batch.column("links")
             at, ends = links.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(links.value_lengths().to_numpy(zero_copy_only=False)))
             sums = [np.append(0, np.cumsum(x[at]))[ends] for x in (best, n)]
