@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +16,9 @@ from quarry.operators import upkeep
 from quarry.operators.chunking import Sizes, chunked
 
 Embedder = Callable[[list[str]], list[list[float]]]
-#: Characters of a text that an embedder sees; texts in a call.
-SEEN, TOGETHER = 30_000, 512
+#: Characters of a text that an embedder sees; texts in a call, by kind of provider.
+SEEN, TOGETHER = 30_000, {"hosted": 2048, "server": 512, "local": 32}
+_EMBEDDED = T.StructType().add("vector", T.ArrayType(T.FloatType())).add("error", T.StringType()).add("attempts", T.IntegerType())
 
 
 def hashed_embedder(dimensions: int = 64) -> Embedder:
@@ -32,30 +34,65 @@ def hashed_embedder(dimensions: int = 64) -> Embedder:
     return embed
 
 
-def embedding(text: Column, provider: Callable[[], Embedder], retries: int = 3) -> Column:
-    """Vectors of texts; provider is called once for each task, and a call that fails is tried again with growing pauses."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import time
+def _called(embed: Embedder, texts: list[str], retries: int, pause: float) -> list[tuple[list[float] | None, str | None, int]]:
+    """Vector, error and number of tries of each text of a call. A lost connection or a timeout is tried again after growing pauses. A call that is refused for any other reason, or answers with
+    another number of vectors, is halved until the text at fault is alone."""
+    for attempt in range(1, retries + 1):
+        try:
+            found = embed(texts)
+            if len(found) == len(texts):
+                return [(v, None, attempt) for v in found]
+            error = f"{len(found)} vectors for {len(texts)} texts"
+            break
+        except (ConnectionError, TimeoutError) as e:
+            if attempt == retries:
+                return [(None, f"{type(e).__name__}: {e}", attempt)] * len(texts)
+            time.sleep(pause * 2 ** (attempt - 1))
+        except Exception as e:  # what a provider refuses is the text's error, not the job's end
+            error = f"{type(e).__name__}: {e}"
+            break
+    if len(texts) == 1:
+        return [(None, error, attempt)]
+    half = len(texts) // 2
+    return _called(embed, texts[:half], retries, pause) + _called(embed, texts[half:], retries, pause)
+
+
+def embedded(text: Column, provider: Callable[[], Embedder], kind: str = "server", retries: int = 3, pause: float = 1.0) -> Column:
+    """vector, error and attempts of texts. A task asks its provider, which is made once, for as many texts at a time as its kind takes, whatever the size of Arrow's batches.
+    Null texts have no vector and no error."""
+    size = TOGETHER[kind]
+
+    @F.pandas_udf(_EMBEDDED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        embed, held = provider(), []
+
+        def answered(part: list[str | None]) -> pd.DataFrame:
+            texts = [t[:SEEN] for t in part if t is not None]
+            found = iter(_called(embed, texts, retries, pause) if texts else ())
+            return pd.DataFrame([(None, None, 0) if t is None else next(found) for t in part], columns=["vector", "error", "attempts"])
 
-        embed = provider()
         for texts in batches:
-            out: list[list[float]] = []
-            for lo in range(0, len(texts), TOGETHER):
-                part = [t[:SEEN] for t in texts.iloc[lo : lo + TOGETHER]]
-                for attempt in range(retries):
-                    try:
-                        out += embed(part)
-                        break
-                    except ConnectionError:
-                        if attempt == retries - 1:
-                            raise
-                        time.sleep(2**attempt)
-            yield pd.Series(out)
+            held += [None if pd.isna(t) else t for t in texts]
+            while len(held) >= size:
+                yield answered(held[:size])
+                held = held[size:]
+        if held:
+            yield answered(held)
 
     return run(text)
 
 
+def failures(rows: DataFrame, column: str = "embedded") -> DataFrame:
+    """The ledger of rows whose text got no vector: their columns, error and attempts. Run these again once the cause is gone."""
+    return rows.where(F.col(f"{column}.error").isNotNull()).select(*[c for c in rows.columns if c != column], f"{column}.error", f"{column}.attempts")
+
+
+def embedding(text: Column, provider: Callable[[], Embedder], retries: int = 3, kind: str = "server") -> Column:
+    """Vectors of texts; the job fails where one gets none."""
+    found = embedded(text, provider, kind, retries)
+    return F.when(found["error"].isNotNull(), F.raise_error(found["error"])).otherwise(found["vector"])
+
+
 def chunk_rows(items: DataFrame, source: str, kind: str, provider: Callable[[], Embedder], sizes: Sizes = Sizes(), repo_url: str | None = None, token: str | None = None, version: str | None = None, base: Column | None = None) -> DataFrame:
     """Rows of the chunk table for items. A chunk's title goes before its item's, an item's url before the derived one, an item's metadata before the chunk's."""
     parts = chunked(items, kind, sizes).withColumnRenamed("title", "chunk_title")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,3 +41,28 @@ def flush(events: DataFrame, path: str, checkpoint: str, **trigger: object) -> S
             row.select(F.lit(TELEMETRY).alias("tool_name"), "data", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(path)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def flush_bounded(events: DataFrame, folder: str, checkpoint: str, write: Callable[[DataFrame, int], None], when: str = "timestamp", most: int = MOST_EVENTS, **trigger: object) -> StreamingQuery:
+    """Hand the events of each trigger to write(rows, number of the batch), those first that earlier writes failed on. At most so many are held; beyond, the oldest go.
+
+    What a failed write leaves is a table under folder, one for each batch, so a query that is started again goes on with it. write may see a batch again after a crash, under the same number.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("_batch", F.lit(number).cast("long"))
+        if number:
+            rows = spark.read.schema(rows.schema).parquet(f"{folder}/held/{number - 1}").unionByName(rows)
+        order = [F.desc("_batch"), F.desc(when), *(F.desc(c) for c in batch.columns if c != when)]
+        kept = rows.orderBy(*order).limit(most)
+        kept.write.mode("overwrite").parquet(f"{folder}/tried/{number}")
+        kept = spark.read.schema(rows.schema).parquet(f"{folder}/tried/{number}")
+        try:
+            write(kept.orderBy("_batch", when).drop("_batch"), number)
+            kept = kept.where(F.lit(False))
+        except Exception as e:  # the sink's failure is not the stream's end: its rows come first next time
+            logging.getLogger(__name__).warning("batch %s stays in the buffer: %s", number, e)
+        kept.write.mode("overwrite").parquet(f"{folder}/held/{number}")
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
