@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from quarry.functions import ip, scalar
 from quarry.operators import analytics as a
 from quarry.operators import chunking, render, search, upkeep
+from quarry.operators.keyword_index import KeywordIndex
+from quarry.operators.vector_index import VectorIndex
 from quarry.plans import indexing, schedule
+from quarry.session import scratch_path
 from quarry.sources import conversations, crawl, files, views
 from quarry.sources.views import table
 from quarry.streaming import ratelimit, sessions
@@ -183,10 +186,76 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.postings_search(search.postings(docs), WORDS, 20)
 
 
-@query("keyword_ranked")
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark: SparkSession, d: str, kind: str, build: Callable[[str], object]) -> object:
+    """An index over the tables of a folder, built at its first use in an application and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _STORED:
+        _STORED[key] = build(scratch_path(spark, kind))
+    return _STORED[key]
+
+
+def keyword_index(spark: SparkSession, d: str) -> KeywordIndex:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return stored(spark, d, "keyword-index", lambda path: KeywordIndex.build(docs, path))
+
+
+def vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    return stored(spark, d, "vector-index", lambda path: VectorIndex.build(views.chunks(spark, d), path))
+
+
+#: Words outside ASCII, which stems leave alone and which are no other word's stem, so that SQL can tell them.
+FAR_WORDS = "für ü"
+BM25_SQL = f"""{CHUNKS_SQL}, t AS (SELECT id, {TOKENS} AS tokens FROM chunks), s AS (SELECT count(*) AS n, avg(len(tokens)) AS average FROM t),
+  c AS (SELECT id, len(tokens) AS l, len(list_filter(tokens, lambda x: x = 'für')) AS a, len(list_filter(tokens, lambda x: x = 'ü')) AS b FROM t),
+  f AS (SELECT sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) AS b FROM c),
+  r AS (SELECT id, ln(1 + (n - f.a + 0.5) / (f.a + 0.5)) * c.a * 2.2 / (c.a + 1.2 * (0.25 + 0.75 * l / average)) + ln(1 + (n - f.b + 0.5) / (f.b + 0.5)) * c.b * 2.2 / (c.b + 1.2 * (0.25 + 0.75 * l / average)) AS s FROM c, s, f WHERE c.a > 0 AND c.b > 0)
+  SELECT id, round(s, 6) AS similarity FROM r ORDER BY s DESC, id LIMIT 20"""
+COVERS_SQL = f"""{CHUNKS_SQL}, t AS (SELECT id, {TOKENS} AS tokens FROM chunks), p AS (SELECT id, unnest(range(1, len(tokens) + 1)) AS k, unnest(tokens) AS w FROM t),
+  w AS (SELECT id, k, max(CASE WHEN w = 'für' THEN k END) OVER o AS a, max(CASE WHEN w = 'ü' THEN k END) OVER o AS b FROM p WHERE w IN ('für', 'ü') WINDOW o AS (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+  c AS (SELECT id, least(a, b) AS first, min(k) AS last FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL)
+  SELECT id, round(sum(1.0::DOUBLE / (last - first)), 6) AS similarity FROM c GROUP BY 1 ORDER BY sum(1.0::DOUBLE / (last - first)) DESC, id LIMIT 20"""
+
+
+@query("keyword_ranked", BM25_SQL)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(keyword_index(spark, d).ranked(FAR_WORDS, 20).select("id", "similarity"), "similarity")
+
+
+@query("keyword_proximity", COVERS_SQL)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(keyword_index(spark, d).proximate(FAR_WORDS, 20).select("id", "similarity"), "similarity")
+
+
+@query("keyword_index_terms", f"{CHUNKS_SQL} SELECT term, count(DISTINCT id) AS documents, max(tf) AS most FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({TOKENS}) AS term FROM chunks) GROUP BY 1, 2) GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return rounded(search.keyword_search(docs, "hati ered", 20).select("id", "similarity"), "similarity")
+    index = KeywordIndex.build(docs, scratch_path(spark, "keyword-index"), simple=True)
+    return index.rows_of_terms()
+
+
+@query("vector_index_topk", f"{CHUNKS_SQL} SELECT id, round(similarity, 6) AS similarity FROM ({RANK_BY_VECTOR} 10)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(vector_index(spark, d).search(QUERY, 10).select("id", "similarity"), "similarity")
+
+
+@query("vector_index_filtered", f"{CHUNKS_SQL} SELECT id, file_path, round(similarity, 6) AS similarity FROM (SELECT id, file_path, {COSINE} AS similarity FROM chunks WHERE source_name = 'src1' AND version = 'v1' AND embedding IS NOT NULL ORDER BY similarity DESC, id LIMIT 10) WHERE similarity >= 0.2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(vector_index(spark, d).search(QUERY, 10, "src1", "v1", 0.2).select("id", "file_path", "similarity"), "similarity")
+
+
+@query(
+    "address_ranges",
+    """WITH r AS (SELECT DISTINCT 16 + s_suppkey % 9 AS n, ((167772160 + (s_suppkey % 64) * 65536) >> (16 - s_suppkey % 9)) AS p, concat('10.', s_suppkey % 64, '.0.0/', 16 + s_suppkey % 9) AS cidr FROM supplier),
+    a AS (SELECT c_custkey, 167772160 + (c_custkey % 64) * 65536 + (c_custkey // 64 % 256) * 256 + c_custkey % 256 AS ip FROM customer)
+    SELECT c_custkey, arg_max(cidr, n) AS matched FROM a LEFT JOIN r ON (ip >> (32 - n)) = p GROUP BY 1""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").selectExpr("c_custkey", "concat_ws('.', '10', c_custkey % 64, c_custkey DIV 64 % 256, c_custkey % 256) AS ip")
+    ranges = table(spark, d, "supplier").selectExpr("concat('10.', s_suppkey % 64, '.0.0/', 16 + s_suppkey % 9) AS cidr")
+    return ip.in_ranges(rows, ranges).select("c_custkey", "matched")
 
 
 @query(

@@ -7,6 +7,7 @@ fused score. Ties go by id. Top-k is a limit after a sort, which Spark runs as a
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,11 +64,12 @@ def _split(text: str) -> list[str]:
     return out
 
 
-def stop_words() -> set[str]:
+@lru_cache(maxsize=1)
+def stop_words() -> frozenset[str]:
     """Spark's English stop words."""
     from pyspark.ml.feature import StopWordsRemover
 
-    return set(StopWordsRemover.loadDefaultStopWords("english"))
+    return frozenset(StopWordsRemover.loadDefaultStopWords("english"))
 
 
 def _surface_forms(chunks: DataFrame, stems: list[str]) -> dict[str, str]:
