@@ -65,7 +65,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         found = spark.read.parquet(f"{self.path}/centroids").orderBy("list").collect()
-        self.centroids = np.array([r.centroid for r in found]).reshape(len(found), -1)
+        self.centroids = np.array([r.centroid for r in found]).reshape(len(found), len(found[0].centroid) if found else 0)
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, lists: int | None = None) -> VectorIndex:
@@ -118,7 +118,9 @@ class VectorIndex:
         return self.spark.read.parquet(f"{self.path}/caps").agg(F.max("run").alias("run")).first().run + 1
 
     def add(self, chunks: DataFrame) -> None:
-        """Add rows, in the place of earlier ones with their ids. Centroids stay as they are."""
+        """Add rows, in the place of earlier ones with their ids. Centroids stay as they are; an index of no rows has none and is built anew instead."""
+        if not len(self.centroids):
+            raise ValueError("an index without rows has no lists: build it again")
         run = self._runs()
         self._gone(chunks.select("id"), run)
         self._append(chunks.where(directed() & (F.size("embedding") == self.centroids.shape[1])), run)
@@ -187,11 +189,12 @@ class VectorIndex:
 
     def search(self, query: list[float], limit: int, source: str | None = None, version: str | None = None, min_score: float | None = None, probes: int | None = None) -> DataFrame:
         """The nearest rows by cosine, as vector_search() finds them; exactly those, unless probes limits the lists that are read."""
-        columns = [c for c in self.rows().columns if c not in ("list", "run")] if len(self.centroids) else []
+        if not len(self.centroids):
+            return self.spark.createDataFrame([], "id long, similarity double")
+        columns = [c for c in self.rows().columns if c not in ("list", "run")]
         norm = math.sqrt(sum(float(x) ** 2 for x in query))
-        if limit <= 0 or not len(self.centroids) or not norm or len(query) != self.centroids.shape[1]:
-            empty = self.rows().select(*columns) if columns else self.spark.createDataFrame([], "id long")
-            return empty.drop("embedding").withColumn("similarity", F.lit(0.0)).where(F.lit(False))
+        if limit <= 0 or not norm or len(query) != self.centroids.shape[1]:
+            return self.rows().select(*columns).drop("embedding").withColumn("similarity", F.lit(0.0)).where(F.lit(False))
         found = self.read(np.array(query, float) / norm, limit, source, version, probes)
         # few rows as a rule, but ties of copies may be many: a join, whose small side Spark broadcasts by its size, and whose lists prune partitions
         rows = self.rows().join(found.select("list", "run", "id"), ["list", "run", "id"], "left_semi").select(*columns)
