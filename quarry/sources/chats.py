@@ -2,7 +2,8 @@
 
 Fetchers are functions of (spark, channels or None) that return a DataFrame, as spark.read.format("paged-api") does; a
 channel that can't be read is a row with the channel and an error. One such channel is left out; if all fail, so
-does the read. These sources don't tell what is gone, so nothing is removed between full reads.
+does the read. These sources don't tell what is gone, so nothing is removed between full reads. Fetchers of feeds read less where they can: since(token)
+leaves out older messages, latest asks for the newest ones only, of(threads) reads those of the threads that are taken.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ class SlackProvider:
         self.spark, self.channels, self.messages, self.distil, self.min_replies, self.min_confidence = spark, channels, messages, distil, min_replies, min_confidence
 
     def _acquired(self, since: str | None) -> Acquired:
-        rows = readable(self.messages(self.spark, self.channels), self.channels)
+        messages = self.messages.since(since) if hasattr(self.messages, "since") else self.messages
+        rows = readable(messages(self.spark, self.channels), self.channels)
         threads = conversations.slack_threads(rows, self.min_replies, since).select("channel", F.col("ts").alias("parent"), "ts")
         said = rows.withColumnRenamed("thread_ts", "parent").join(threads.select("channel", "parent"), ["channel", "parent"])
         said = said.select(F.concat_ws(":", "channel", "parent").alias("thread"), F.col("ts").alias("position"), "author", "text", "reactions", "timestamp")
@@ -52,7 +54,8 @@ class SlackProvider:
         return self._acquired(token)
 
     def current_token(self) -> str | None:
-        return readable(self.messages(self.spark, self.channels), self.channels).agg(F.max("ts").alias("token")).first().token
+        newest = getattr(self.messages, "latest", self.messages)
+        return readable(newest(self.spark, self.channels), self.channels).agg(F.max("ts").alias("token")).first().token
 
 
 class DiscordProvider:
@@ -65,7 +68,8 @@ class DiscordProvider:
 
     def _acquired(self, since: str | None) -> Acquired:
         found = readable(self.threads(self.spark, self.channels), self.channels)
-        rows, said = conversations.discord_threads(found, self.min_messages, since), self.messages(self.spark, self.channels)
+        rows = conversations.discord_threads(found, self.min_messages, since)
+        said = self.messages.of(rows) if hasattr(self.messages, "of") else self.messages(self.spark, self.channels)
         forums = conversations.forum_items(rows.where("kind = 'forum'"), said.select("thread", "position", "author", "text"))
         text = rows.where("kind = 'text'").select(F.col("id").alias("of"), F.concat_ws(":", "channel", "id").alias("named"))
         talk = said.join(text, F.col("thread") == F.col("of")).select(F.col("named").alias("thread"), "position", "author", "text", "timestamp", "reactions")

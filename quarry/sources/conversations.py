@@ -41,11 +41,14 @@ def participants(messages: DataFrame) -> DataFrame:
 
 
 def discord_threads(threads: DataFrame, min_messages: int = 2, since: str | None = None) -> DataFrame:
-    """Threads with enough messages whose last message is newer than the token; ids are compared as numbers. A thread listed twice is taken once."""
-    rows = threads.where(F.col("message_count") >= min_messages)
+    """Threads with enough messages whose last message is newer than the token; ids are compared as numbers. Of a thread listed twice the first row is
+    taken, that of the least place where there is such a column."""
+    columns = threads.columns
+    first = threads.groupBy("id").agg(F.min_by(F.struct(*columns), "place").alias("r")).select("r.*") if "place" in columns else threads.dropDuplicates(["id"])
+    rows = first.where(F.col("message_count") >= min_messages)
     if since is not None:
         rows = rows.where(F.col("last_message_id").try_cast("decimal(20,0)") > F.lit(since).try_cast("decimal(20,0)"))
-    return rows.dropDuplicates(["id"])
+    return rows
 
 
 def discord_token(threads: DataFrame) -> DataFrame:

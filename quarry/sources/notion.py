@@ -9,8 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Markdown of simple block types, as what stands before their text.
-BEFORE = {"paragraph": "", "heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> ", "callout": "> ", "toggle": "- "}
+#: The line of a block by its type, from its text t, the indentation i and the block's own values.
+LINES = {
+    "paragraph": "{i}{t}",
+    "heading_1": "# {t}",
+    "heading_2": "## {t}",
+    "heading_3": "### {t}",
+    "bulleted_list_item": "{i}- {t}",
+    "numbered_list_item": "{i}1. {t}",
+    "to_do": "{i}- [{done}] {t}",
+    "toggle": "{i}**{t}**",
+    "quote": "{i}> {t}",
+    "callout": "{i}> **{icon}** {t}",
+    "code": "{i}```{language}\n{t}\n```",
+    "divider": "{i}---",
+    "image": "{i}![{caption}]({url})",
+    "bookmark": "{i}[{label}]({url})",
+    "equation": "{i}$${expression}$$",
+    "child_page": "{i}[Page: {title}]",
+    "child_database": "{i}[Database: {title}]",
+    "table_row": "| {cells} |",
+}
+LIST_ITEMS = ("bulleted_list_item", "numbered_list_item")
 
 
 def rich_text(parts: list[dict] | None) -> str:
@@ -21,40 +41,27 @@ def rich_text(parts: list[dict] | None) -> str:
     return "".join(out)
 
 
-def block_lines(block: dict, depth: int = 0) -> list[str]:
-    """Markdown lines of a block and of the blocks in it, indented by depth."""
+def block_lines(block: dict, indent: str = "") -> list[str]:
+    """Markdown of a block and of the blocks in it. Blocks in list items are indented; those of types without a line only give what is in them."""
     kind = block.get("type", "")
     own = block.get(kind) or {}
-    text, pad = rich_text(own.get("rich_text")), "  " * depth
-    inner = [line for b in block.get("children") or [] for line in block_lines(b, depth + 1)]
-    if kind in BEFORE:
-        return [pad + BEFORE[kind] + text, *inner]
-    if kind == "to_do":
-        return [f"{pad}- [{'x' if own.get('checked') else ' '}] {text}", *inner]
-    if kind == "code":
-        return [f"```{own.get('language') or ''}", *text.split("\n"), "```"]
-    if kind == "equation":
-        return [f"$${own.get('expression') or ''}$$"]
-    if kind == "divider":
-        return ["---"]
-    if kind == "table":
-        rows = [[rich_text(c) for c in (b.get("table_row") or {}).get("cells") or []] for b in block.get("children") or []]
-        lines = ["| " + " | ".join(r) + " |" for r in rows]
-        return [*lines[:1], "|" + " --- |" * len(rows[0]), *lines[1:]] if rows else []
-    if kind in ("image", "video", "file", "pdf"):
-        url = (own.get("external") or own.get("file") or {}).get("url") or ""
-        return [f"{pad}{'!' if kind == 'image' else ''}[{rich_text(own.get('caption')) or kind}]({url})"]
-    if kind in ("bookmark", "embed", "link_preview"):
-        return [f"{pad}[{rich_text(own.get('caption')) or own.get('url') or ''}]({own.get('url') or ''})"]
-    if kind in ("child_page", "child_database"):
-        return [f"{pad}**{own.get('title') or ''}**"]
-    return inner
+    icon, place = own.get("icon") or {}, own.get("external") or own.get("file") or {}
+    values = {
+        "i": indent, "t": rich_text(own.get("rich_text")), "done": "x" if own.get("checked") else " ", "language": own.get("language") or "", "expression": own.get("expression") or "", "title": own.get("title") or "",
+        "icon": icon.get("emoji") or (icon.get("external") or {}).get("url") or "", "caption": rich_text(own.get("caption")), "url": own.get("url") or place.get("url") or "",
+        "label": rich_text(own.get("caption")) if "caption" in own and own["caption"] is not None else own.get("url") or "", "cells": " | ".join(rich_text(c) for c in own.get("cells") or []),
+    }
+    lines = [LINES[kind].format(**values)] if kind in LINES else []
+    inner = [line for b in block.get("children") or [] for line in block_lines(b, indent + "  " if kind in LIST_ITEMS else indent)]
+    if kind == "table" and inner and own.get("has_column_header"):
+        inner.insert(1, "| " + " | ".join(["---"] * (own.get("table_width") or 2)) + " |")
+    return lines + inner
 
 
 @F.pandas_udf(T.StringType())
 def markdown_of(blocks: pd.Series) -> pd.Series:
     """Markdown of a page's blocks, given as a JSON list."""
-    return blocks.map(lambda b: "\n\n".join("\n".join(block_lines(x)) for x in json.loads(b or "[]")).strip())
+    return blocks.map(lambda b: "\n".join(line for x in json.loads(b or "[]") for line in block_lines(x)))
 
 
 def property_text(p: Column) -> Column:
@@ -74,17 +81,17 @@ def property_text(p: Column) -> Column:
 
 
 def discovered(search: DataFrame, roots: list[str], databases: list[str]) -> DataFrame:
-    """Pages to take: all, or the roots and the entries of the databases; a page found twice is taken once, as last edited."""
+    """Pages to take: all, or the roots and the entries of the databases; a page found twice is taken once, as listed last where there is a column place, else as last edited."""
     rows = search if not roots and not databases else search.where(F.col("id").isin(roots) | (F.col("parent_id").isin(databases) & (F.col("parent_type") == "database_id")))
-    return rows.groupBy("id").agg(F.max_by(F.struct(*search.columns), "last_edited").alias("r")).select("r.*")
+    return rows.groupBy("id").agg(F.max_by(F.struct(*search.columns), "place" if "place" in search.columns else "last_edited").alias("r")).select("r.*")
 
 
 def page_items(pages: DataFrame) -> DataFrame:
     """Items of pages with title, blocks (JSON), frontmatter (map, may be null), parent_type, parent_id and url."""
     body = markdown_of("blocks")
     front = F.concat(F.lit("---\n"), F.array_join(F.transform(F.array_sort(F.map_entries("frontmatter")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"), F.lit("\n---\n\n"))
-    content = F.concat(F.when(F.col("frontmatter").isNotNull() & (F.col("parent_type") == "database_id"), front).otherwise(""), F.coalesce(F.nullif(F.col("body"), F.lit("")), F.concat(F.lit("# "), "title")))
-    return pages.withColumn("body", body).select("id", content.alias("content"), "title", F.col("url").alias("source_url"), F.to_json(F.struct(F.col("parent_type").alias("parentType"), F.col("parent_id").alias("parentId"))).alias("metadata"))
+    content = F.concat(F.when(F.col("frontmatter").isNotNull() & (F.col("parent_type") == "database_id"), front).otherwise(""), F.when(F.col("body").rlike(r"\S"), F.col("body")).otherwise(F.concat(F.lit("# "), "title")))
+    return pages.withColumn("body", body).select("id", content.alias("content"), "title", F.col("url").alias("source_url"), F.to_json(F.struct(F.regexp_replace("parent_type", "_id$", "").alias("parentType"), F.col("parent_id").alias("parentId"))).alias("metadata"))
 
 
 def edited_since(pages: DataFrame, token: str | None) -> DataFrame:

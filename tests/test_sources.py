@@ -134,14 +134,14 @@ def test_workspace_pages(spark):
     text = lambda s: {"rich_text": [{"plain_text": s}]}
     blocks = [
         {"type": "heading_2", "heading_2": text("Head")}, {"type": "bulleted_list_item", "bulleted_list_item": text("one"), "children": [{"type": "to_do", "to_do": text("two") | {"checked": True}}]},
-        {"type": "code", "code": text("x = 1") | {"language": "python"}}, {"type": "table", "table": {}, "children": [{"table_row": {"cells": [[{"plain_text": "a"}], [{"plain_text": "b"}]]}}]}, {"type": "image", "image": {"external": {"url": "u"}, "caption": []}},
+        {"type": "code", "code": text("x = 1") | {"language": "python"}}, {"type": "table", "table": {"has_column_header": True, "table_width": 2}, "children": [{"type": "table_row", "table_row": {"cells": [[{"plain_text": "a"}], [{"plain_text": "b"}]]}}]}, {"type": "image", "image": {"external": {"url": "u"}, "caption": []}},
         {"type": "unknown"}, {"type": "paragraph", "paragraph": {"rich_text": [{"plain_text": "l", "href": "h"}]}},
     ]
     schema = "id string, title string, blocks string, frontmatter map<string,string>, parent_type string, parent_id string, url string, last_edited string"
     pages = spark.createDataFrame([("p", "T", json.dumps(blocks), {"b": "2", "a": "1"}, "database_id", "d", "u", "2"), ("q", "Empty", "[]", None, "page", "p", "u", "3")], schema)
     got = {r.id: r.content for r in notion.page_items(pages).collect()}
     assert got["q"] == "# Empty"
-    assert got["p"] == "---\na: 1\nb: 2\n---\n\n## Head\n\n- one\n  - [x] two\n\n```python\nx = 1\n```\n\n| a | b |\n| --- | --- |\n\n![image](u)\n\n\n\n[l](h)"
+    assert got["p"] == "---\na: 1\nb: 2\n---\n\n## Head\n- one\n  - [x] two\n```python\nx = 1\n```\n| a | b |\n| --- | --- |\n![](u)\n[l](h)"
     assert notion.token(pages).first().token == "3" and notion.edited_since(pages, "2").count() == 1
     assert {r.id for r in notion.discovered(pages, [], []).collect()} == {"p", "q"} and {r.id for r in notion.discovered(pages, [], ["d"]).collect()} == {"p"}
 
