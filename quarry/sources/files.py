@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
+import shutil
 import subprocess
+import uuid
 import zipfile
+from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,7 +20,7 @@ from quarry.functions.scalar import glob_match, low_semantic_value
 
 #: Fixed values of the scan.
 SKIPPED = ["node_modules", "dist", "build", ".git"]
-MAX_BYTES, MAX_DOCUMENT_BYTES = 100 * 1024, 10 * 1024 * 1024
+MAX_BYTES, MAX_DOCUMENT_BYTES, SHORT_TEXT = 100 * 1024, 10 * 1024 * 1024, 50
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -37,35 +41,53 @@ def _docx(raw: bytes) -> str:
     return "\n\n".join("".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in root.iter(f"{_WORD}p"))
 
 
-def _pdf(raw: bytes) -> str:
+def _pdf(raw: bytes) -> tuple[str, dict]:
+    """The text of a PDF, a form feed between pages, and what it tells of itself."""
+    from pypdf import PdfReader  # optional
+
+    reader = PdfReader(io.BytesIO(raw))
+    told = reader.metadata or {}
+    values = {"title": told.get("/Title"), "author": told.get("/Author"), "creationDate": told.get("/CreationDate"), "pageCount": len(reader.pages)}
+    return "\f".join(page.extract_text() or "" for page in reader.pages), {k: v if isinstance(v, int) else str(v) for k, v in values.items() if v}
+
+
+def extract(path: str, raw: bytes) -> tuple[str | None, str | None, str | None]:
+    """Text, metadata (JSON) and problem of a document. One that can't be read has no text, but does not stop the others; a PDF with pages but hardly
+    any text has a problem too, as it may be scanned."""
     try:
-        from pypdf import PdfReader  # optional
+        if path.lower().endswith(".docx"):
+            return _docx(raw), None, None
+        text, told = _pdf(raw)
     except ImportError:
-        raise RuntimeError("reading PDF needs the optional library pypdf") from None
-    return "\f".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages)
+        return None, None, "reading PDF needs the optional library pypdf"
+    except Exception as e:  # noqa: BLE001  readers of broken files raise anything
+        return None, None, f"{type(e).__name__}: {e}"[:500]
+    short = told.get("pageCount") and len(text.strip()) < SHORT_TEXT
+    return text, json.dumps(told, ensure_ascii=False) if told else None, f"{told['pageCount']} pages, {len(text.strip())} characters: scanned?" if short else None
 
 
-@F.pandas_udf(T.StringType())
-def _extracted(paths: pd.Series, contents: pd.Series) -> pd.Series:
-    def one(path: str, raw: bytes) -> str | None:
-        try:
-            return _docx(raw) if path.lower().endswith(".docx") else _pdf(raw)
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-            return None
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("text", "metadata", "problem")]))
+def _extracted(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([extract(p, c) for p, c in zip(paths, contents, strict=True)], columns=["text", "metadata", "problem"], dtype=object)
 
-    return pd.Series([one(p, c) for p, c in zip(paths, contents, strict=True)])
 
-
-def text_of(path: Column, content: Column) -> Column:
-    """The text of a file: of .pdf and .docx extracted, else its bytes as UTF-8; null where a document is broken."""
-    return F.when(F.lower(path).rlike(r"\.(pdf|docx)$"), _extracted(path, content)).otherwise(F.decode(content, "UTF-8"))
+def _is_document(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.(pdf|docx)$")
 
 
 def items(files: DataFrame, base: Column | None = None, documents: bool = False) -> DataFrame:
-    """Items of scanned files, without those of low semantic value."""
-    text = text_of(F.col("path"), F.col("content")) if documents else F.decode("content", "UTF-8")
-    rows = files.withColumn("content", text).where(F.col("content").isNotNull() & ~low_semantic_value(F.col("content")))
-    return rows.select(F.col("path").alias("id"), "content", F.lit(None).cast("string").alias("title"), (F.lit(None).cast("string") if base is None else base).alias("source_url"), F.lit("{}").alias("metadata"))
+    """Items of scanned files, without those of low semantic value. Of documents, .pdf and .docx are extracted, and broken ones left out (see problems);
+    all other bytes are UTF-8."""
+    plain = F.struct(F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("string").alias("problem"))
+    found = F.when(_is_document(F.col("path")), _extracted("path", "content")).otherwise(plain) if documents else plain
+    rows = files.select("path", found.alias("found")).select("path", F.col("found.text").alias("content"), F.col("found.metadata").alias("told"))
+    rows = rows.where(F.col("content").isNotNull() & ~low_semantic_value(F.col("content")))
+    return rows.select(F.col("path").alias("id"), "content", F.lit(None).cast("string").alias("title"), (F.lit(None).cast("string") if base is None else base).alias("source_url"), F.coalesce("told", F.lit("{}")).alias("metadata"))
+
+
+def problems(files: DataFrame) -> DataFrame:
+    """path and problem of the documents that can't be read, or hardly."""
+    return files.where(_is_document(F.col("path"))).select("path", _extracted("path", "content").getField("problem").alias("problem")).where("problem IS NOT NULL")
 
 
 def snapshot(files: DataFrame) -> DataFrame:
@@ -96,6 +118,37 @@ def git(folder: str, *args: str) -> str:
     return subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=True, timeout=300).stdout
 
 
+def authorised(url: str, access: str | None) -> str:
+    """An https url with an access token in it."""
+    return url.replace("https://", f"https://x-access-token:{access}@", 1) if access and url.startswith("https://") else url
+
+
+def checkout(url: str, folder: str, branch: str | None = None, access: str | None = None) -> str:
+    """The folder, with the newest commit of a repository: pulled where it holds a checkout, else cloned, one commit deep. A checkout that can't be pulled is
+    replaced once a new clone is there; a folder that is no checkout is left alone, which is an error. The access token is not kept in the checkout.
+    On a cluster the folder must be one that driver and executors share."""
+    place, address = Path(folder), authorised(url, access)
+    there = (place / ".git").exists()
+    if place.exists() and not there and any(place.iterdir()):
+        raise ValueError(f"{folder} is not empty and no checkout")
+    if there:
+        try:
+            git(folder, "pull", "-q", "--ff-only", address, *([branch] if branch else []))
+            return folder
+        except (subprocess.SubprocessError, OSError):
+            pass
+    place.parent.mkdir(parents=True, exist_ok=True)
+    fresh = place.with_name(f"{place.name}.{uuid.uuid4().hex}")
+    done = subprocess.run(["git", "clone", "-q", "--depth=1", *(["--branch", branch] if branch else []), "--", address, str(fresh)], capture_output=True, text=True, timeout=3600, check=False)
+    if done.returncode:
+        raise RuntimeError(f"can't clone {url}: {done.stderr.replace(address, url).strip()[-500:]}")
+    git(str(fresh), "remote", "set-url", "origin", url)
+    if place.exists():
+        shutil.rmtree(place)
+    fresh.rename(place)
+    return folder
+
+
 def git_token(folder: str, branch: str = "HEAD") -> str | None:
     """The commit of the remote branch, else of the local one, else None."""
     for args in (("ls-remote", "origin", branch), ("rev-parse", "HEAD")):

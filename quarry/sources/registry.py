@@ -29,20 +29,28 @@ class Provider(Protocol):
 
 
 class FileProvider:
-    """Files below a folder, which may be a git checkout."""
+    """Files below a folder, which may be or lie in a git checkout (repository). With a remote, reads begin with a pull or a clone into it."""
 
-    def __init__(self, spark: SparkSession, path: str, include: list[str] = ["**"], exclude: list[str] = [], repository: str | None = None, documents: bool = False, max_bytes: int | None = None, **_: Any):
+    def __init__(self, spark: SparkSession, path: str, include: list[str] = ["**"], exclude: list[str] = [], repository: str | None = None, documents: bool = False, max_bytes: int | None = None, remote: str | None = None, branch: str | None = None, access: str | None = None, **_: Any):
         self.spark, self.path, self.include, self.exclude, self.repository, self.documents = spark, path, include, exclude, repository, documents
+        self.remote, self.branch, self.access = remote, branch, access
         self.max_bytes = max_bytes or (files.MAX_DOCUMENT_BYTES if documents else files.MAX_BYTES)
 
+    def _pull(self) -> None:
+        if self.remote:
+            files.checkout(self.remote, self.repository or self.path, self.branch, self.access)
+            self.repository = self.repository or self.path
+
     def _scan(self) -> DataFrame:
         return files.scan(self.spark, self.path, self.include, self.exclude, self.max_bytes)
 
     def full(self) -> Acquired:
+        self._pull()
         return Acquired(files.items(self._scan(), documents=self.documents), None, self.current_token() or "")
 
     def incremental(self, token: str) -> Acquired:
         """Of a checkout, the files that changed since the token, by the same rules as a full read; of other folders, all."""
+        self._pull()
         found = self.repository and files.git_changes(self.repository, token)
         if not found:
             return self.full()

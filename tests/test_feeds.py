@@ -193,7 +193,7 @@ def reader(state, channels="a,b"):
     return feeds.FeedReader({"client": "fake_api:chat", "channels": channels, "path": state.path}, feeds.StructType.fromDDL("channel string, ts string"))
 
 
-def test_offsets(chat):
+def test_offsets(spark, chat):
     feed = reader(chat)
     assert feed.initialOffset() == {"a": None, "b": None}
     end = feed.latestOffset()
@@ -210,7 +210,7 @@ def test_offsets(chat):
     assert feed.latestOffset() == {"a": "9.0", "b": "4.0"}  # nor does a deleted message move it back
 
 
-def test_offsets_of_failing_channels(chat):
+def test_offsets_of_failing_channels(spark, chat):
     with pytest.raises(clients.Refused):
         reader(chat, "a,closed").latestOffset()  # after a restart its position is not known
     feed = reader(chat, "closed")

@@ -51,6 +51,56 @@ def test_git_provider(spark, tree):
         registry.provider("nowhere", spark)
 
 
+def test_checkout(spark, tmp_path):
+    origin, place = tmp_path / "origin", tmp_path / "clones/copy"
+    origin.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(origin), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+
+    def commit(name, text):
+        (origin / name).write_text(text)
+        run("add", ".")
+        run("commit", "-qm", name)
+
+    run("init", "-q", "-b", "main")
+    commit("a.ts", "one")
+    run("checkout", "-qb", "other")
+    commit("a.ts", "of the other branch")
+    run("checkout", "-q", "main")
+    commit("b.ts", "two")
+    source = registry.provider("code", spark, path=str(place), remote=f"file://{origin}", branch="main")
+    read = lambda acquired: {r.id: r.content for r in acquired.items.collect()}
+    first = source.full()
+    assert read(first) == {"a.ts": "one", "b.ts": "two"} and files.git(str(place), "rev-list", "--count", "HEAD").strip() == "1"
+    commit("c.ts", "three")
+    second = source.incremental(first.token)
+    assert read(second) == {"c.ts": "three"} and second.token != first.token
+    (place / ".git/HEAD").write_text("broken")
+    assert read(source.full()) == {"a.ts": "one", "b.ts": "two", "c.ts": "three"} and [p.name for p in place.parent.iterdir()] == ["copy"]
+    assert read(registry.provider("code", spark, path=str(tmp_path / "second"), remote=f"file://{origin}", branch="other").full()) == {"a.ts": "of the other branch"}
+    with pytest.raises(RuntimeError, match="can't clone file:///nowhere"):
+        files.checkout("file:///nowhere", str(tmp_path / "third"))
+    with pytest.raises(ValueError, match="no checkout"):
+        files.checkout(f"file://{origin}", str(tmp_path))
+    assert files.authorised("https://h/o/r", "t") == "https://x-access-token:t@h/o/r" and files.authorised("https://h/o/r", None) == "https://h/o/r"
+
+
+def test_documents_that_can_not_be_read(spark, tmp_path, monkeypatch):
+    from types import ModuleType, SimpleNamespace
+
+    (tmp_path / "a.txt").write_text("text of a file")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "c.docx").write_bytes(b"no zip")
+    found = files.scan(spark, str(tmp_path))
+    assert [(r.id, r.metadata) for r in files.items(found, documents=True).collect()] == [("a.txt", "{}")]
+    assert {r.path: r.problem.split(":")[0] for r in files.problems(found).collect()} == {"b.pdf": "reading PDF needs the optional library pypdf", "c.docx": "BadZipFile"}
+    pages = [SimpleNamespace(extract_text=lambda t=t: t) for t in ("first page " * 9, "second")]
+    fake = ModuleType("pypdf")
+    fake.PdfReader = lambda raw: SimpleNamespace(pages=pages[:1] if raw.read() == b"one" else pages[1:], metadata={"/Title": "T", "/Author": "", "/CreationDate": "D:2024"})
+    monkeypatch.setitem(__import__("sys").modules, "pypdf", fake)
+    assert files.extract("x.PDF", b"one") == ("first page " * 9, '{"title": "T", "creationDate": "D:2024", "pageCount": 1}', None)
+    assert files.extract("x.pdf", b"two")[2] == "1 pages, 6 characters: scanned?"
+
+
 def test_docx(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
