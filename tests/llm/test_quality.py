@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -125,3 +126,60 @@ def test_verdicts_hardly_hang_on_the_seed():
         limit = np.quantile(forest.score(good[300:2000]), 0.995)
         shares.append((forest.score(bad) > limit).mean())
     assert min(shares) > 0.95 and max(shares) - min(shares) < 0.02
+
+
+def path(forest, t, x, held, depth):
+    """Steps of row x in tree t, grown on the rows held."""
+    at = d = 0
+    while d < depth and len(held) > 1:
+        m, v = forest.measure[t, at], forest.value[t, at]
+        over = x[m] > v
+        held, at, d = [h for h in held if (h[m] > v) == over], 2 * at + 1 + over, d + 1
+    return d + quality_rules._expected(len(held))
+
+
+def test_paths_are_means_over_all_subsamples():
+    rng = np.random.default_rng(4)
+    x = rng.random((9, len(quality_rules.USED)))
+    forest = quality_rules.grow(x, x[:0], 3, 4, 5)
+    for row in x:
+        mean = np.mean([path(forest, t, row, list(held), 2) for t in range(3) for held in combinations(x, 4)])
+        assert forest.score(row[None])[0] == pytest.approx(2 ** (-mean / quality_rules._expected(4)))
+
+
+def best_threshold(scores, y, false_reject):
+    good, bad = np.sort(scores[y == 1]), np.sort(scores[y == 0])
+    steps = np.unique(scores[scores >= np.quantile(good, 1 - false_reject, method="higher")])
+    over = [len(a) - np.searchsorted(a, steps, "right") for a in (good, bad)]
+    return steps[np.argmax(over[1] * len(good) - over[0] * len(bad))]
+
+
+def test_trees_and_threshold_come_from_all_rows(spark):
+    """More rows than a fit once saw (51,200, of the labelled ones 20,000); repeated rows, null ids and rows that fail count as before."""
+    n, rng = 60_000, np.random.default_rng(6)
+    c = {k: np.zeros(n, dtype=np.int64) for k in features.COUNTS}
+    c |= {"n_words": rng.integers(100, 400, n), "n_lines": rng.integers(5, 30, n), "max_word": np.full(n, 12)}
+    c |= {"word_chars": c["n_words"] * 5, "n_bytes": c["n_words"] * 6, "n_distinct": c["n_words"] - rng.integers(0, 50, n), "max_count": rng.integers(1, 12, n), "n_upper": rng.integers(0, 40, n)}
+    y = (rng.random(n) > 0.1).astype(int)
+    c["n_symbols"] = np.where(y == 0, rng.integers(0, 300, n), rng.integers(0, 60, n))
+    counts = np.column_stack([c[k] for k in features.COUNTS])
+    rows = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(counts.tolist())] + [(0, *map(int, counts[0]))] * 3, "doc_id long, " + ", ".join(f"{k} long" for k in features.COUNTS))
+    failing = spark.createDataFrame([(n + 1, 3, *[0] * (len(features.COUNTS) - 1))], rows.schema)
+    labels = spark.createDataFrame([(i, int(k)) for i, k in enumerate(y[: n // 2])] + [(None, 1), (n + 1, 1), (n + 5, 0), (2, None), (0, int(y[0]))], LABELS)
+    forest = quality_rules.train(rows.union(failing), labels, trees=40)
+    x = features.measures(counts)[:, quality_rules.USED]
+    whole = quality_rules.grow(x, features.measures(np.array([[3] + [0] * (len(features.COUNTS) - 1)]))[:, quality_rules.USED], 40, 256, 7)
+    assert (forest.value == whole.value).all() and (forest.length == whole.length).all() and forest.normal == whole.normal
+    assert forest.threshold == best_threshold(whole.score(x[: n // 2]), y[: n // 2], 0.005)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_threshold_matches_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = [3, 40, 3000, 3000][seed]
+    scores, y = np.round(rng.random(n) ** 2 * [1, 1, 1, 1e-4][seed], [1, 1, 3, 9][seed]), rng.integers(0, 2, n)
+    y[:2] = 0, 1
+    scored = spark.createDataFrame([(float(s), int(k)) for s, k in zip(scores, y)], "score double, label int")
+    for share in (0.0, 0.005, 0.3):
+        assert quality_rules.calibrated(scored, share) == best_threshold(scores, y, share)
+    assert quality_rules.calibrated(scored.where("label = 1"), 0.1) == quality_rules.calibrated(scored.where("label = 0"), 0.1) == 2.0
