@@ -1,7 +1,8 @@
 """A stored inverted index: stems with positions, block maxima, BM25 and cover density, kept up by runs.
 
 A posting row holds the documents of one term in one block: (bucket, term, block, n, max_tf, min_length, entries). Blocks group documents of like length, by the
-hash of their id within it, and hold about ``BLOCK`` documents, so a row is bounded however common its term. Postings are partitioned by
+hash of their id within it, and hold about ``BLOCK`` documents or ``WORDS`` words, so a row is bounded however common its term. Documents are dealt by block, so a
+task inverts one block after the other; a row is stored as arrays over its documents. Postings are partitioned by
 a hash of the term, so a query reads the buckets of its terms; it looks at n, max_tf and min_length first. From these come document frequencies and, for
 each block, the most that BM25 can reach there. The most promising blocks are scored first, then only those that can still reach the best.
 
@@ -15,18 +16,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.scalar import tokens
 from quarry.functions.stemming import stem
 from quarry.operators.search import B, K1, _split, stop_words
 
-#: Buckets of terms and of documents; documents of a block; blocks that are scored first.
-BUCKETS, BLOCK, FIRST = 64, 4096, 16
+#: Buckets of terms and of documents; documents and words of a block; blocks that are scored first.
+BUCKETS, BLOCK, WORDS, FIRST = 64, 4096, 1_000_000, 16
 #: Different words whose stems a task keeps.
 KEPT = 200_000
 
@@ -45,38 +47,90 @@ def bucket_of(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode(), seed=42) % BUCKETS
 
 
-def occurrences(docs: DataFrame, simple: bool = False) -> DataFrame:
-    """A row for each document (id and other columns, content) and term: the other columns, length, term, tf and positions."""
+def _worded(docs: DataFrame) -> DataFrame:
+    """docs (id, content and other columns) with their words, as tokens() has them, joined by spaces in the place of content, and length, their number."""
+    rest = [c for c in docs.columns if c != "content"]
+    words = F.btrim(F.regexp_replace(F.lower(F.coalesce("content", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    length = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+    return docs.select(*rest, words.alias("words")).withColumn("length", length)
+
+
+def inverted(docs: DataFrame, simple: bool = False) -> DataFrame:
+    """Posting rows of docs (id, block, length, words and other columns), whose blocks must come together: term, block, n, max_tf, min_length, and of its documents ids, the other
+    columns, lengths, ends (occurrences up to each, itself included) and positions. A block of over twice its words or four times its documents is cut; block numbers must leave room for it."""
     stops = frozenset() if simple else stop_words()
-    rest = [f for f in docs.schema if f.name != "content"]
-    names = [f.name for f in rest]
+    rest = {f.name: f.dataType.simpleString() for f in docs.schema if f.name not in ("block", "length", "words")}
+    most_docs, most_words = 4 * BLOCK, 2 * WORDS
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+        held, block, cut, n, words = [], None, 0, 0, 0
+        for batch in batches:
+            begin = 0
+            for i, (own, length) in enumerate(zip(batch.column("block").to_pylist(), batch.column("length").to_pylist(), strict=True)):
+                if own != block or n == most_docs or words + length > most_words:
+                    held.append(batch.slice(begin, i - begin))
+                    if n:
+                        yield block + cut, pa.Table.from_batches(held)
+                    held, begin, cut, block, n, words = [], i, cut + 1 if own == block else 0, own, 0, 0
+                n, words = n + 1, words + length
+            held.append(batch.slice(begin))
+        if n:
+            yield block + cut, pa.Table.from_batches(held)
+
+    def numbered(words: list[str], known: dict[str, str | None]) -> tuple[np.ndarray, list[str]]:
+        """For each word the number of its term, -1 for none; the terms."""
+        if simple:
+            return np.arange(len(words)), words
+        numbers: dict[str, int] = {}
+        out = np.full(len(words), -1)
+        for i, w in enumerate(words):
+            if w not in known:
+                if len(known) >= KEPT:
+                    known.clear()
+                known[w] = None if w in stops else stem(w)
+            if (t := known[w]) is not None:
+                out[i] = numbers.setdefault(t, len(numbers))
+        return out, [*numbers]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str | None] = {}
-        for batch in batches:
-            at, terms, counts, places, lengths = [], [], [], [], []
-            for i, words in enumerate(batch.column("_words").to_pylist()):
-                found: dict[str, list[int]] = {}
-                for k, w in enumerate(words or ()):
-                    t = known.get(w, w)
-                    if t is w and w not in known:
-                        if len(known) >= KEPT:
-                            known.clear()
-                        t = known[w] = None if w in stops else w if simple else stem(w)
-                    if t is not None:
-                        found.setdefault(t, []).append(k)
-                at += [i] * len(found)
-                terms += found
-                counts += map(len, found.values())
-                places += found.values()
-                lengths += [len(words or ())] * len(found)
+        for block, piece in pieces(batches):
+            lengths = piece["length"].to_numpy()
+            words = pc.list_flatten(pc.split_pattern(piece["words"].combine_chunks(), " ")).dictionary_encode()
+            numbers, terms = numbered(words.dictionary.to_pylist(), known)
+            term = numbers[words.indices.to_numpy()]
+            place = np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            key = term * len(lengths) + np.repeat(np.arange(len(lengths)), lengths)
+            place, key = place[term >= 0], key[term >= 0]
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            # an entry begins with each new term and document, a row with each new term
+            entries = np.flatnonzero(np.diff(key, prepend=-1))
+            term, doc = np.divmod(key[entries], len(lengths))
+            rows = np.flatnonzero(np.diff(term, prepend=-1))
+            upto, first = np.append(rows, len(entries)).astype(np.int32), np.append(entries, len(key))
+            tf, begun = np.diff(first), np.repeat(entries[rows], np.diff(upto))
+            of = lambda values, at=upto: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+            own = [of(piece[c].combine_chunks().take(pa.array(doc))) for c in rest]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(at, pa.int32())) for c in names), pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), pa.array(counts, pa.int32()), pa.array(places, pa.list_(pa.int32()))],
-                [*names, "length", "term", "tf", "positions"],
-            )
+                [pa.array(terms, pa.string()).take(pa.array(term[rows])), pa.array(np.full(len(rows), block), pa.int64()), pa.array(np.diff(upto), pa.int32()), pa.array(np.maximum.reduceat(tf, rows), pa.int32()), pa.array(np.minimum.reduceat(lengths[doc], rows), pa.int32()),
+                 *own, of(pa.array(lengths[doc], pa.int32())), of(pa.array(first[1:] - begun, pa.int32())), of(pa.array(place[order], pa.int32()), first[upto])],
+                ["term", "block", "n", "max_tf", "min_length", *rest, "lengths", "ends", "positions"],
+            )
+
+    return docs.mapInArrow(run, "term string, block long, n int, max_tf int, min_length int, " + "".join(f"`{c}` array<{kind}>, " for c, kind in rest.items()) + "lengths array<int>, ends array<int>, positions array<int>")
+
+
+def _entries(rest: list[str]) -> Column:
+    """The documents of a posting row as structs."""
+    def entry(x: Column, i: Column) -> Column:
+        begin = F.coalesce(F.get("ends", i - 1), F.lit(0))
+        tf = F.get("ends", i) - begin
+        return F.struct(x.alias("id"), tf.alias("tf"), F.get("lengths", i).alias("length"), F.slice("positions", begin + 1, tf).alias("positions"), *(F.get(F.col(c), i).alias(c) for c in rest))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", length int, term string, tf int, positions array<int>"
-    return docs.select(*names, tokens(F.col("content")).alias("_words")).mapInArrow(run, schema)
+    return F.transform("id", entry)
 
 
 def share(tf: Column, length: Column, average: float) -> Column:
@@ -101,14 +155,16 @@ class KeywordIndex:
     def _append(self, chunks: DataFrame, run: int) -> None:
         chunks = chunks.drop("embedding")
         narrow = [c for c in ("source_name", "version") if c in chunks.columns]
-        total = chunks.select(F.size(F.coalesce(tokens(F.col("content")), F.array())).cast("long").alias("length")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"))
-        total.write.parquet(f"{self.path}/totals/run={run}")
-        parts = 1 + chunks.count() // BLOCK
-        each = occurrences(chunks.select("id", *narrow, "content"), self.simple)
-        block = F.floor(4 * F.log2(F.col("length") + 1)).cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.lit(parts))
-        each = each.withColumn("block", block).withColumn("bucket", _bucket(F.col("term")))
-        entry = F.struct("id", "tf", "length", "positions", *narrow)
-        rows = each.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(entry).alias("entries"))
+        docs = _worded(chunks.select("id", *narrow, "content")).withColumn("kind", F.floor(4 * F.log2(F.col("length") + 1)).cast("long"))
+        kinds = docs.groupBy("kind").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()
+        words = sum(k.length for k in kinds)
+        self.spark.createDataFrame([(sum(k.n for k in kinds), words)], "n long, length long").coalesce(1).write.parquet(f"{self.path}/totals/run={run}")
+        parts = F.create_map(*[F.lit(x) for k in kinds for x in (k.kind, 1 + max(k.n // BLOCK, k.length // WORDS))]) if kinds else F.create_map().cast("map<long, long>")
+        block = F.col("kind") * (1 << 40) + F.pmod(F.xxhash64("id"), F.coalesce(F.try_element_at(parts, "kind"), F.lit(1))) * (1 << 20)
+        docs = docs.where("length > 0").withColumn("block", block).drop("kind")
+        # all of a block in one task, in an order that a second attempt repeats, as cuts hang on it
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1 + words // (4 * WORDS))
+        rows = inverted(docs.repartition(tasks, "block").sortWithinPartitions("block", "id", "words"), self.simple).withColumn("bucket", _bucket(F.col("term")))
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/run={run}")
         stored = chunks.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int"))
         stored.hint("rebalance", "part").sortWithinPartitions("part", "id").write.partitionBy("part").parquet(f"{self.path}/rows/run={run}")
@@ -137,8 +193,9 @@ class KeywordIndex:
     def _forget(self, ids: DataFrame, run: int) -> None:
         ids = ids.select("id").distinct()
         lost = self.rows().join(ids, "id", "left_semi")
-        lost.select(F.lit(-1).alias("sign"), F.size(F.coalesce(tokens(F.col("content")), F.array())).cast("long").alias("length")).agg((-F.count("*")).alias("n"), F.coalesce(-F.sum("length"), F.lit(0)).alias("length")).write.mode("append").parquet(f"{self.path}/totals/run={run}")
-        terms = occurrences(lost.select("id", "content"), self.simple).groupBy("term").agg(F.count("*").alias("n")).withColumn("bucket", _bucket(F.col("term")))
+        docs = _worded(lost.select("id", "content"))
+        docs.agg((-F.count("*")).alias("n"), F.coalesce(-F.sum("length"), F.lit(0)).alias("length")).write.mode("append").parquet(f"{self.path}/totals/run={run}")
+        terms = inverted(docs.where("length > 0").withColumn("block", F.lit(0).cast("long")), self.simple).groupBy("term").agg(F.sum("n").alias("n")).withColumn("bucket", _bucket(F.col("term")))
         terms.write.partitionBy("bucket").mode("append").parquet(f"{self.path}/lost/run={run}")
         ids.write.mode("append").parquet(f"{self.path}/gone/run={run}")
 
@@ -173,7 +230,9 @@ class KeywordIndex:
 
     def postings(self, terms: list[str]) -> DataFrame:
         """The posting rows of terms: partitions of their buckets only, and of these the row groups that may hold the terms."""
-        return self._read("postings").where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(terms))
+        rows = self._read("postings").where(F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(terms))
+        rest = [c for c in ("source_name", "version") if c in rows.columns]
+        return rows.withColumn("entries", _entries(rest)).drop("id", "lengths", "ends", "positions", *rest)
 
     def frequencies(self, terms: list[str]) -> tuple[int, float, dict[str, int]]:
         """The number of documents, their average length, and in how many each term occurs."""

@@ -1,10 +1,12 @@
 """The stored keyword index against the scan, plain loops, and itself after changes."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.functions.stemming import stem
 from quarry.operators import keyword_index as ki
@@ -133,3 +135,42 @@ def test_empty_table(spark, tmp_path):
     assert index.search("cat", 3).collect() == index.search("cat", 3, near=True).collect() == []
     index.add(spark.createDataFrame([(1, "s", "v", "a cat", None)], SCHEMA))
     assert [r.id for r in index.search("cats", 3).collect()] == [1]
+
+
+def most_memory(spark):
+    """MB that each Python worker has held at most so far."""
+
+    def told(batches):
+        import resource
+
+        import pandas as pd
+
+        for _ in batches:
+            pass
+        yield pd.DataFrame({"pid": [os.getpid()], "mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024]})
+
+    return {r.pid: r.mb for r in spark.range(64).repartition(64).mapInPandas(told, "pid long, mb double").collect()}
+
+
+@pytest.mark.parametrize("simple", [True, False])
+def test_a_task_holds_few_words(spark, tmp_path, simple):
+    words = F.transform(F.sequence(F.lit(0), F.lit(599)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(50_000))))
+    docs = spark.range(10_000).coalesce(1).select("id", F.array_join(words, " ").alias("content"))
+    before = most_memory(spark)
+    index = ki.KeywordIndex.build(docs, f"{tmp_path}/a", simple)
+    after = most_memory(spark)
+    assert index.rows_of_terms().agg(F.sum("documents")).first()[0] > 5_900_000
+    assert max(mb - before.get(pid, 120) for pid, mb in after.items()) < 500
+
+
+def test_blocks_are_cut_and_no_document_is_lost(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ki, "BLOCK", 8)
+    monkeypatch.setattr(ki, "WORDS", 100)
+    rows = [(7, "s0", "v0", f"cat dog{i % 40} {'run ' * (i % 90)}", None) for i in range(150)] + [(i, "s1", "v1", "cat " * 700 if i == 400 else "cat fox", None) for i in range(300, 420)]
+    index = ki.KeywordIndex.build(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/a")
+    found = index.postings(["cat"]).collect()
+    assert sum(r.n for r in found) == len(rows) and len({r.block for r in found}) == len(found) and max(r.n for r in found) <= 32
+    for r in found:
+        assert sum(e.length for e in r.entries) <= 200 or r.n == 1
+        assert all(len(e.positions) == e.tf == (700 if e.id == 400 else 1) and [*e.positions] == [*range(e.tf)] for e in r.entries)
+    assert {(r.term, r.documents) for r in index.rows_of_terms().collect() if r.term in ("run", "fox")} == {("run", sum(i % 90 > 0 for i in range(150))), ("fox", 119)}
