@@ -174,3 +174,17 @@ def test_blocks_are_cut_and_no_document_is_lost(spark, tmp_path, monkeypatch):
         assert sum(e.length for e in r.entries) <= 200 or r.n == 1
         assert all(len(e.positions) == e.tf == (700 if e.id == 400 else 1) and [*e.positions] == [*range(e.tf)] for e in r.entries)
     assert {(r.term, r.documents) for r in index.rows_of_terms().collect() if r.term in ("run", "fox")} == {("run", sum(i % 90 > 0 for i in range(150))), ("fox", 119)}
+
+
+@pytest.fixture(scope="module")
+def cut(spark, tmp_path_factory):
+    """An index whose blocks are cut often."""
+    old = ki.BLOCK, ki.WORDS, ki.FIRST
+    ki.BLOCK, ki.WORDS, ki.FIRST = 2, 120, 2
+    yield ki.KeywordIndex.build(spark.createDataFrame(some(200, 5), SCHEMA).coalesce(1), f"{tmp_path_factory.mktemp('keywords')}/a")
+    ki.BLOCK, ki.WORDS, ki.FIRST = old
+
+
+@pytest.mark.parametrize("query, source", [("running cats", None), ("quickly jumping", "s2")])
+def test_ranked_over_cut_blocks(cut, query, source):
+    assert hits(cut.ranked(query, 15, source=source)) == brute(some(200, 5), query, 15, source=source)
