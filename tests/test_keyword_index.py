@@ -188,3 +188,8 @@ def cut(spark, tmp_path_factory):
 @pytest.mark.parametrize("query, source", [("running cats", None), ("quickly jumping", "s2")])
 def test_ranked_over_cut_blocks(cut, query, source):
     assert hits(cut.ranked(query, 15, source=source)) == brute(some(200, 5), query, 15, source=source)
+
+
+@pytest.mark.parametrize("query", ["running cats dogs", "quickly jumping"])
+def test_cover_density_over_cut_blocks(cut, query):
+    assert hits(cut.proximate(query, 15)) == brute_covers(some(200, 5), query, 15)
